@@ -64,9 +64,9 @@ NAMES = (
     "authkey", "auth_key", "accountkey", "account_key", "sharedkey", "shared_key", "openai_key", "x_auth", "x-auth", "credential", "credentials", "connkey", "webhook_key",
 )
 #: Between a name and its value: quotes or brackets that close the name, then an assignment or separator.
-LINK = re.compile(r"""(?:\\?["'`])?\]?\s{0,4}(?::=|=>|[=:,]|>|\|)\s{0,4}""")
+LINK = re.compile(r"""(?:\\?["'`])?\]?[ \t]{0,4}(?::=|=>|[=:,]|>|\|)[ \t]{0,4}""")
 XML_VALUE = re.compile(r"""\\?["']\s+value\s*=\s*(?=\\?["'])""", re.I)
-TYPED = re.compile(r"\s*:\s*[A-Za-z_][\w.<>\[\]?]*\s*=\s*")
+TYPED = re.compile(r"[ \t]*:[ \t]*[A-Za-z_][\w.<>\[\]?]*[ \t]*=[ \t]*")
 #: "NAME value" without a sign between: a container file's ENV or ARG, a login file, an option.
 SPACED = re.compile(r"[ \t]+")
 QUOTED = re.compile(r"""\\?(["'`])((?:(?!\\?\1)[^\r\n])*)\\?\1""")
