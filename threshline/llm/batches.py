@@ -10,13 +10,13 @@ import pyarrow as pa
 SLICE_CHARS = 3_000_000
 
 
-def slices(column: pa.Array) -> Iterator[tuple[int, list[str | None]]]:
-    """(start, texts) in groups of about SLICE_CHARS characters, so that memory does not follow the batch."""
+def slices(column: pa.Array, most: int = SLICE_CHARS) -> Iterator[tuple[int, list[str | None]]]:
+    """(start, texts) in groups of about ``most`` characters, so that memory does not follow the batch."""
     start, chars, group = 0, 0, []
     for value in column.to_pylist():
         group.append(value)
         chars += len(value or "")
-        if chars >= SLICE_CHARS:
+        if chars >= most:
             yield start, group
             start, chars, group = start + len(group), 0, []
     if group:
