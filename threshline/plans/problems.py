@@ -35,9 +35,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 _RANKED = """
 WITH timed AS (
-  SELECT delivery_id, id, CAST(regexp_replace(updated_at, ' ?UTC$', 'Z') AS TIMESTAMPTZ) AS at FROM object_attributes WHERE id IS NOT NULL
+  SELECT delivery_id, id, CAST(regexp_replace(updated_at, ' ?UTC$', 'Z') AS TIMESTAMPTZ) AS instant FROM object_attributes WHERE id IS NOT NULL
 ), ranked AS (
-  SELECT delivery_id, row_number() OVER (PARTITION BY id ORDER BY at DESC NULLS LAST, delivery_id) AS n FROM timed
+  SELECT delivery_id, row_number() OVER (PARTITION BY id ORDER BY instant DESC NULLS LAST, delivery_id) AS n FROM timed
 )
 """
 _ITEMS = """
