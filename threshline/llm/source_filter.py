@@ -23,6 +23,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from threshline.llm.batches import slices
+from threshline.operators.skew import join_by_frequency
+from threshline.session import checkpointed
 
 #: Attributes that declare a file as not hand-written.
 ATTRIBUTES = ("linguist-generated", "linguist-vendored")
@@ -99,6 +101,8 @@ paket.lock linguist-generated
 Package.resolved linguist-generated
 .terraform.lock.hcl linguist-generated
 """
+#: Characters of attribute files that may be broadcast.
+MOST_BROADCAST = 8_000_000
 #: A notice stands within so many lines from the head of what the diff shows.
 HEAD_LINES = 12
 COMMENT = re.compile(r"""\s*(?://+!?|\#+|--|;+|/\*+!?|<!--|\*|%+|'|"_comment"\s*:\s*"|\{-)\s*(.*?)\s*(?:\*/|-->|",?|-\})?\s*$""")
@@ -288,9 +292,20 @@ def attribute_files(df: DataFrame) -> DataFrame:
 
 
 def machine_made(df: DataFrame) -> DataFrame:
-    """(diff_id, by_machine) of every row of st_diff: one pass, joined with the few attribute files by project."""
-    files = attribute_files(df)
-    rows = df.select("diff_id", "new_path", "diff", "project_id").join(files, "project_id", "left").select("diff", "diff_id", "new_path", "attribute_files")
+    """(diff_id, by_machine) of every row of st_diff, in one pass.
+
+    The attribute files are written once and measured.  Up to MOST_BROADCAST characters they are broadcast; beyond that
+    they meet the rows by project through a shuffle in which large projects are split.
+    """
+    files = checkpointed(attribute_files(df))
+    chars = files.select(F.sum(F.aggregate("attribute_files", F.lit(0).cast("bigint"), lambda a, f: a + F.length(f["text"])))).first()[0] or 0
+    rows = df.select("diff_id", "new_path", "diff", "project_id")
+    if chars <= MOST_BROADCAST:
+        rows = rows.join(F.broadcast(files), "project_id", "left")
+    else:
+        counts = df.where("project_id IS NOT NULL").groupBy("project_id").agg(F.count("*").alias("_rows"))
+        rows = join_by_frequency(rows, counts.join(files, "project_id"), "project_id", "_rows", F.col("diff_id"), "left")
+    rows = rows.select("diff", "diff_id", "new_path", "attribute_files")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parsed: dict[str, list] = {}
