@@ -22,6 +22,11 @@ TOKEN = re.compile(r'[ \t\n\r]*(?:("(?:[^"\\\x00-\x1f]|\\(?:["\\/bfnrt]|u[0-9a-f
 BLANKS = re.compile(r"[ \t\n\r]*")
 
 
+Path = tuple[str | int, ...]
+#: In a path, any element of an array; no key of an object is a number.
+ELEMENT = 0
+
+
 class NotOneObject(ValueError):
     """The text is not one whole JSON object."""
 
@@ -30,19 +35,19 @@ def text_of(token: str) -> str:
     return json.loads(token) if "\\" in token else token[1:-1]
 
 
-def triples(text: str, wanted: set[tuple[str, ...]]) -> list[tuple[tuple[str, ...], tuple[int, ...], str | None]]:
-    """(path, ordinals, value) of each scalar below a wanted path, in document order; ``*`` stands for any element.
+def triples(text: str, wanted: set[Path]) -> list[tuple[Path, tuple[int, ...], str | None]]:
+    """(path, ordinals, value) of each scalar at or below a wanted path, in document order.
 
-    ``wanted`` holds key paths whose elements are children; arrays on the way add an ordinal.  A value in place of the
-    array is ordinal 0.  Of a repeated key the last value counts, as parsers of JSON have it.
+    ``wanted`` holds paths of keys.  In a path ELEMENT stands for any element of an array, whose position is the next of
+    the ordinals.  Of a repeated key the last value counts, as parsers of JSON have it.
     """
-    out: list[tuple[tuple[str, ...], tuple[int, ...], str | None]] = []
+    out: list[tuple[Path, tuple[int, ...], str | None]] = []
     match, at, end = TOKEN.match, 0, len(text)
     prefixes = {w[:n] for w in wanted for n in range(len(w) + 1)}
     # Frames: [is object, path, ordinals, next ordinal, whether at or below a wanted path, kept, keys so far].
     stack: list[list] = []
     state = "value"
-    path: tuple[str, ...] = ()
+    path: Path = ()
     ordinals: tuple[int, ...] = ()
     kept = True
     while True:
@@ -89,13 +94,12 @@ def triples(text: str, wanted: set[tuple[str, ...]]) -> list[tuple[tuple[str, ..
         elif state in ("value", "first value"):
             if sign == "{":
                 stack.append([True, path, ordinals, 0, kept and (path in wanted or bool(stack) and stack[-1][4]), kept, set()])
-                if kept and path in wanted:
-                    out.append((path + ("{}",), ordinals, None))
                 state = "first key"
                 continue
             if sign == "[":
-                stack.append([False, path, ordinals, 0, kept and (path in wanted or stack[-1][4]), kept, None])
-                ordinals, state = ordinals + (0,), "first value"
+                kept = kept and (path in wanted or stack[-1][4])
+                stack.append([False, path + (ELEMENT,), ordinals, 0, kept, kept, None])
+                path, ordinals, state = path + (ELEMENT,), ordinals + (0,), "first value"
                 continue
             if kind in (1, 2, 3):
                 if kept and path not in prefixes - wanted:
@@ -113,7 +117,7 @@ def triples(text: str, wanted: set[tuple[str, ...]]) -> list[tuple[tuple[str, ..
         state = "after"
 
 
-def json_children(df: DataFrame, key: str, text: str, children: dict[str, tuple[tuple[str, ...], str, bool]], fields: tuple[str, ...] = ()) -> DataFrame:
+def json_children(df: DataFrame, key: str, text: str, children: dict[str, tuple[Path, str, bool]], fields: tuple[str, ...] = ()) -> DataFrame:
     """(kind, parent_id, pos, child_key, fields): one row per child of each JSON text.
 
     ``children`` maps a kind to (path, name of the key field, whether a bare text may stand for the child).  The map
@@ -139,12 +143,13 @@ def json_children(df: DataFrame, key: str, text: str, children: dict[str, tuple[
                             break
                     kind, name, bare = by_path[path[:n]]
                     rest = path[n:]
-                    if len(ordinals) > 1 or len(rest) > 1:
-                        continue  # deeper repeats are children of their own, when asked for
-                    child = groups.setdefault((kind, ordinals[0] if ordinals else 0), {})
-                    if rest and rest != ("{}",):
+                    pos, rest = (ordinals[0], rest[1:]) if rest and rest[0] == ELEMENT else (0, rest)
+                    if len(rest) > 1 or rest == (ELEMENT,):
+                        continue  # deeper levels are children of their own, when asked for
+                    child = groups.setdefault((kind, pos), {})
+                    if rest:
                         child[rest[0]] = x
-                    elif not rest and bare and x is not None:
+                    elif bare and x is not None:
                         child[name] = x
                 for (kind, pos), child in groups.items():
                     name = children[kind][1]

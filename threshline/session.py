@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
 
 
@@ -34,6 +35,9 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def input_bytes(df: DataFrame) -> int:
-    """Size of the optimised plan's input as the optimizer knows it; a planning figure only, it decides no result."""
-    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+def input_bytes(df: DataFrame, text: str) -> int:
+    """Stored size of a table as the optimizer knows it, else the characters of its text; it plans tasks, decides no result."""
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    if size < 1 << 60:  # unknown sizes stand at the largest number
+        return size
+    return df.select(F.sum(F.length(text))).first()[0] or 0
