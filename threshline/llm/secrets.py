@@ -69,6 +69,8 @@ XML_VALUE = re.compile(r"""\\?["']\s+value\s*=\s*(?=\\?["'])""", re.I)
 TYPED = re.compile(r"[ \t]*:[ \t]*[A-Za-z_][\w.<>\[\]?]*[ \t]*=[ \t]*")
 #: "NAME value" without a sign between: a container file's ENV or ARG, a login file, an option.
 SPACED = re.compile(r"[ \t]+")
+#: Commands that take a name and a value.
+COMMAND = re.compile(r"[+\- ]?\s*(?:ENV|ARG|setenv|setx|SETX|set)\s+\w*\Z")
 QUOTED = re.compile(r"""\\?(["'`])((?:(?!\\?\1)[^\r\n])*)\\?\1""")
 BARE = re.compile(r"""[^\s"'`,;<>|(){}\[\]][^\s"'`;<>|]*""")
 PAIR_VALUE = re.compile(r"""\{?([^;"'`\s]+)""")
@@ -175,6 +177,9 @@ def name_value(text: str, start: int, end: int) -> tuple[int, int] | None:
         if not value:
             return None
         s, e = (value.start(2), value.end(2)) if value.re is QUOTED else value.span()
+        line = text.rfind("\n", 0, start) + 1
+        if COMMAND.match(text, line, start):
+            return (s, e) if plausible(text[s:e], True) else None
         return (s, e) if strong(text[s:e]) else None
     else:
         return None
