@@ -78,9 +78,13 @@ HEADER = re.compile(r"""(?:\\?["'`])?\s{0,2}[:=,]\s{0,2}(?:\\?["'`])?(?:(bearer|
 #: A login told in a sentence: the words, the user, a sign between, the password.
 LOGIN_WORDS = ("login is ", "login: ", "log in as ", "credentials are ", "creds are ", "creds: ")
 #: Words that are followed by the password itself, in a sentence or a statement.
-TELLING = ("identified by ", "パスワードは", "パスワード:", "パスワード：", "密码是", "密码:", "密码：", "비밀번호는", "비밀번호:")
+TELLING = ("identified by ", "temporary password ", "temp password ", "initial password ", ", pw ", ", password ", "パスワードは", "パスワード:", "パスワード：", "密码是", "密码:", "密码：", "비밀번호는", "비밀번호:")
 TOLD = re.compile(r"\s{0,2}(?:password\s+)?[\"'`「]?([^\s\"'`,;<>「」、。]+)", re.I)
 LOGIN = re.compile(r"[\w.@-]+\s?[/:|,]\s?(\S+)")
+#: User and password of a command line option, and of a login file.
+OPTION_WORDS = (" -u ", " --user ", " -u=", " --user=", "login ")
+OPTION = re.compile(r"[\"']?[\w.@%-]+:([^\s\"'`@/]+)[\"']?(?=\s|$)")
+LOGIN_FILE = re.compile(r"\S+\s+password\s+(\S+)")
 SCHEME = re.compile(r"(bearer|basic)\s+([A-Za-z0-9+/=._~-]{12,})", re.I)
 #: What stands in a value's place but is none.
 PLACEHOLDER = re.compile(
@@ -92,7 +96,9 @@ REFERENCE = re.compile(r"""(?ix) ^(?: env | vault | ssm | file | secret | secret
 IDENTIFIER = re.compile(r"[A-Za-z_$][A-Za-z_$]*(?:\.[A-Za-z_$]\w*)*")
 HEXHASH = re.compile(r"(?:sha\d*|md5)[-:]")
 WORDY = re.compile(r"[a-z]+(?:[-_ ][a-z]+)*", re.I)
+SETTING = re.compile(r"[a-z][a-z_]*=")
 GROUPED = re.compile(r"[A-Z0-9]{4,6}(?:-[A-Z0-9]{4,6}){2,}")
+CAMEL = re.compile(r"(?:[A-Z]?[a-z]{2,})(?:[A-Z][a-z]+)*")
 LETTER = re.compile(r"[A-Za-z0-9_]")
 
 
@@ -111,6 +117,8 @@ def _automaton() -> ahocorasick.Automaton:
         kinds[name] = {("scheme", "")}
     for name in LOGIN_WORDS:
         kinds.setdefault(name, set()).add(("login", ""))
+    for name in OPTION_WORDS:
+        kinds.setdefault(name, set()).add(("option", ""))
     for name in TELLING:
         kinds.setdefault(name, set()).add(("told", ""))
     for word, kind in kinds.items():
@@ -150,7 +158,7 @@ def plausible(value: str, quoted: bool) -> bool:
     if WORDY.fullmatch(value):
         # Letters alone: a name of something, unless it is long and mixes case as only random letters do.
         changes = sum(a.islower() != b.islower() for a, b in zip(value, value[1:]) if a.isalpha() and b.isalpha())
-        return quoted and "_" not in value and len(value) >= 12 and changes >= len(value) // 3
+        return "_" not in value and len(value) >= 9 and changes >= len(value) // 3 and not CAMEL.fullmatch(value)
     if not quoted and ("(" in value or IDENTIFIER.fullmatch(value) and digits == 0):
         return False
     return digits > 0 or len(set(value)) >= 6
@@ -202,7 +210,7 @@ def name_value(text: str, start: int, end: int) -> tuple[int, int] | None:
 def strong(value: str) -> bool:
     """A value that stands after its name with only a blank between must show it by itself: letters mixed with digits."""
     kinds = (any(c.isdigit() for c in value), any(c.islower() for c in value), any(c.isupper() for c in value), any(not c.isalnum() for c in value))
-    return plausible(value, False) and kinds[0] and sum(kinds) >= 2 and len(value) >= 8 and "/" not in value[:1] and "=" not in value[:-2] and "(" not in value
+    return plausible(value, False) and kinds[0] and sum(kinds) >= 2 and len(value) >= 8 and "/" not in value[:1] and "(" not in value and not SETTING.match(value)
 
 
 def spans(text: str | None) -> list[tuple[int, int]]:
@@ -246,6 +254,10 @@ def spans(text: str | None) -> list[tuple[int, int]]:
             elif kind == "login":
                 if (m := LOGIN.match(text, end)) and strong(m[1]):
                     span = m.span(1)
+            elif kind == "option":
+                m = OPTION.match(text, end) if text[start] == " " else LOGIN_FILE.match(text, end)
+                if m and len(m[1]) >= 6 and plausible(m[1], True):
+                    span = m.span(1)
             elif kind == "told":
                 if (m := TOLD.match(text, end)) and len(m[1]) >= 6 and plausible(m[1], True):
                     span = m.span(1)
