@@ -105,7 +105,7 @@ def with_instant(df, text: str, out: str, default_zone: Column | None = None, da
     """
     zone_of_row = F.lit(None).cast("string") if default_zone is None else default_zone
     order = F.lit("dmy") if date_order is None else F.coalesce(date_order, F.lit("dmy"))
-    names = regions()
+    names = ", ".join(f"'{z}'" for z in regions())
     step = df.withColumns({"_ts_text": trimmed(F.col(text)), "_ts_order": order, "_ts_default": zone_of_row})
     step = step.withColumns({"_ts_fields": F.split(canonical(F.col("_ts_text"), F.col("_ts_order")), r"\|"), "_ts_epoch": epoch_us(F.col("_ts_text"))})
     field = lambda k: F.col("_ts_fields")[k]
@@ -126,7 +126,7 @@ def with_instant(df, text: str, out: str, default_zone: Column | None = None, da
     known = F.create_map(*[F.lit(x) for pair in ABBREVIATIONS.items() for x in pair])
     step = step.withColumns({
         "_ts_offset": F.when(bare.rlike(r"^[+-]\d{2}:?(?:\d{2})?$"), numeric).otherwise(known[F.upper(zone)]),
-        "_ts_in": F.when(F.col("_ts_region").isNotNull(), F.when(F.col("_ts_region").isin(names), F.col("_ts_region"))).when(zone == "", F.when(F.col("_ts_default").isin(names), F.col("_ts_default"))),
+        "_ts_in": F.when(F.col("_ts_region").isNotNull(), F.expr(f"CASE WHEN _ts_region IN ({names}) THEN _ts_region END")).when(zone == "", F.expr(f"CASE WHEN _ts_default IN ({names}) THEN _ts_default END")),
     })
     local = F.col("_ts_local")
     instant = (
