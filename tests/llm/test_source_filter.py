@@ -6,6 +6,7 @@ CODE = "@@ -0,0 +1,3 @@\n+def total(rows):\n+    return sum(rows)\n+\n"
 MADE = [
     ("a/node_modules/x/i.js", CODE), ("lib/vendor/pkg-a/x.go", CODE), ("x.min.js", None), ("api/a.pb.go", CODE), ("yarn.lock", None), ("a_pb2.py", ""), ("src/__generated__/x.ts", CODE),
     ("x.go", "+// Code generated by toolc. DO NOT EDIT.\n" + CODE), (None, "+# AUTOGENERATED FILE - changes will be overwritten\n" + CODE), ("x.c", "+// Upstream: Lib 1.2.3, file copied unchanged.\n" + CODE), ("x.c", "+// (c) 2019 the Lib contributors, released under a permissive licence\n" + CODE),
+    ("x.sql", "--- a/x.sql\n+++ b/x.sql\n@@ -1,2 +0,0 @@\n--- Code generated by toolc. DO NOT EDIT.\n-select 1;\n"), ("x.sql", "@@ -1,2 +0,0 @@\n--- Machine-written by toolc; rerun the build instead of editing.\n-select 1;\n"),
     ("x.js", "+" + "function a(b,c){return b.d(c,1)}for(var e=0;e<9;e++)f[e]&&f[e].g();" * 8), ("t.py", "+x = [\n" + "+0x01, 0x02, 0x03, 0x04, 0x05, 0x06, 0x07, 0x08,\n" * 30 + "+]"), ("old.js", "-" + "var a=b[1]||{};c=>{d.e(c);return!0};" * 12),
 ]
 HAND = [

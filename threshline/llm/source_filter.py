@@ -127,6 +127,8 @@ VENDORED = re.compile(
       | \S+\ (?:-|v\d\S*\ -)\ .{3,60}\blibrary,?\ version\ \d | /?!?\s?\S+\ v\d+\.\d+\.\d+\ \|\ )""",
     re.I | re.X,
 )
+#: What names the files before the first hunk; a removed line of a comment may begin with the same signs later.
+FILE_HEADER = re.compile(r"(?:(?:diff|index|similarity|rename|new file|deleted file|old mode|new mode)\b[^\n]*\n)*--- [^\n]*\n\+\+\+ [^\n]*(?:\n|\Z)")
 ARMOR = re.compile(r"-----BEGIN [A-Z0-9 ]+-----")
 NUMBER = r"-?(?:0[xX][0-9a-fA-F]+|\d+(?:\.\d+)?(?:[eE][+-]?\d+)?)[fFuUlL]*"
 DATA_ROW = re.compile(
@@ -145,9 +147,10 @@ MIN_LINE, MIN_SHARE = 200, 0.7
 
 def sides(diff: str) -> tuple[list[str], list[str]]:
     """(new lines, old lines) that a unified diff shows, without marks, file headers and carriage returns."""
-    lines = diff.split("\n")
-    new = [x[1:].rstrip("\r") for x in lines if x[:1] in ("+", " ") and not x.startswith("+++ ")]
-    old = [x[1:].rstrip("\r") for x in lines if x[:1] in ("-", " ") and not x.startswith("--- ")]
+    head = FILE_HEADER.match(diff)
+    lines = diff[head.end() if head else 0 :].split("\n")
+    new = [x[1:].rstrip("\r") for x in lines if x[:1] in ("+", " ")]
+    old = [x[1:].rstrip("\r") for x in lines if x[:1] in ("-", " ")]
     return new, old
 
 
