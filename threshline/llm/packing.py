@@ -135,7 +135,7 @@ def pack_texts(docs: DataFrame, key: str = "doc_id", text: str = "text", capacit
         raise ValueError("the capacity must be positive")
     source = docs.where(F.length(text) > 0).select(key, text)
     tasks = max(1, math.ceil(input_bytes(docs, text) / TASK_BYTES))
-    words = F.split(F.lower(text), r"[^\p{L}\p{N}_]+")
+    words = F.split(F.translate(F.lower(text), "\n\r\t\"'()[]{},;:", " " * 14), " ")
     route = F.array_max(F.transform(words, lambda w: F.struct(F.length(w).alias("size"), F.left(w, F.lit(64)).alias("word"))))
     routed = source.select(key, text, route.alias("_route")).repartitionByRange(tasks, "_route", key).sortWithinPartitions("_route", key).select(key, text)
     number = T.StructField(key, docs.schema[key].dataType)
