@@ -26,6 +26,18 @@ def test_by_hand(path, diff):
     assert not by_machine(path, diff)
 
 
+LICENCE = ["Licensed under terms that are told at length."] * 20
+NOTICE = "Code generated by toolc. DO NOT EDIT."
+
+
+def test_notice_below_a_long_licence():
+    shown = lambda lines: "".join(f"+{x}\n" for x in lines)
+    assert by_machine("x.go", shown(["// " + x for x in LICENCE] + ["", "// " + NOTICE]) + CODE)
+    assert by_machine("x.c", shown(["/*", *LICENCE, "*/", "// " + NOTICE]) + CODE)
+    assert not by_machine("x.c", shown(["// " + x for x in LICENCE] + ["int a;", "// " + NOTICE]) + CODE)
+    assert not by_machine("x.h", shown(["#define A 1"] * 20 + ["// " + NOTICE]) + CODE)
+
+
 def test_precedence():
     files = [("", parse_attributes("# c\n*.js linguist-generated\n/docs/** linguist-vendored=true\n*.js -linguist-generated\ngen/*.py linguist-generated")), ("lib", parse_attributes('*.js linguist-generated\n"a b.js" linguist-generated=false'))]
     said = lambda p: declared(p, files)

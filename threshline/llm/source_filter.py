@@ -103,8 +103,12 @@ Package.resolved linguist-generated
 """
 #: Characters of attribute files that may be broadcast.
 MOST_BROADCAST = 8_000_000
-#: A notice stands within so many lines from the head of what the diff shows.
+#: A notice stands within so many lines from the head of what the diff shows, or in its leading comment, however long.
 HEAD_LINES = 12
+#: What a line of a comment begins with, and what looks like one but is an instruction to a preprocessor.
+REMARK = re.compile(r"\s*(?:$|//|\#|--|;|/\*|<!--|\*|%|'\s|\{-)")
+INSTRUCTION = re.compile(r"\s*\#\s*(?:define|undef|include|import|ifn?def|if|elif|else|endif|pragma|error|line|region)\b")
+BLOCKS = (("/*", "*/"), ("<!--", "-->"), ("{-", "-}"))
 COMMENT = re.compile(r"""\s*(?://+!?|\#+|--|;+|/\*+!?|<!--|\*|%+|'|"_comment"\s*:\s*"|\{-)\s*(.*?)\s*(?:\*/|-->|",?|-\})?\s*$""")
 #: What an edit may have put before a notice.
 LEAD = r"(?:\W{0,3}(?:_x|\d{1,2}|new)\s+)?"
@@ -160,8 +164,23 @@ def content_lines(diff: str) -> list[str]:
     return new if sum(map(len, new)) >= sum(map(len, old)) else old
 
 
+def leading_comment(lines: list[str]) -> int:
+    """How many lines from the head on are comments or blank."""
+    until = None
+    for n, line in enumerate(lines):
+        if until is None:
+            if not REMARK.match(line) or INSTRUCTION.match(line):
+                return n
+            for begin, end in BLOCKS:
+                if line.lstrip().startswith(begin):
+                    until = end
+        if until and until in line:
+            until = None
+    return len(lines)
+
+
 def has_notice(lines: list[str]) -> bool:
-    for line in lines[:HEAD_LINES]:
+    for line in lines[: max(HEAD_LINES, leading_comment(lines))]:
         m = COMMENT.match(line)
         if m and (GENERATED.match(m[1]) or VENDORED.match(m[1])):
             return True
