@@ -25,6 +25,18 @@ def test_clean(text):
     assert spans(text) == []
 
 
+@pytest.mark.parametrize("value", ["VUSXrqciyLSj", "OAxXQuaedfzczwxDK"])
+def test_letters_with_few_changes_of_case(value):
+    text = f'+db_password = "{value}"'
+    assert [text[s:e] for s, e in spans(text)] == [value]
+    assert spans(f'+page_token = "{value}"') == []
+
+
+@pytest.mark.parametrize("value", ["enterPassword", "parseJSONValue", "HTTPServerName", "PasswordID", "PASSWORDFIELD", "passwordfield"])
+def test_names_are_no_passwords(value):
+    assert spans(f'+password = "{value}"') == []
+
+
 def test_chunks_overlap_and_hits_are_single():
     text = ("y\n" * CHUNK)[: CHUNK - 3] + f'\nk = "{TOKEN}"\n' + "z" * CHUNK
     assert [text[s:e] for s, e in spans(text)] == [TOKEN]

@@ -99,6 +99,10 @@ WORDY = re.compile(r"[a-z]+(?:[-_ ][a-z]+)*", re.I)
 SETTING = re.compile(r"[a-z][a-z_]*=")
 GROUPED = re.compile(r"[A-Z0-9]{4,6}(?:-[A-Z0-9]{4,6}){2,}")
 CAMEL = re.compile(r"(?:[A-Z]?[a-z]{2,})(?:[A-Z][a-z]+)*")
+#: Words and acronyms in mixed case, as names in code and labels are made of.
+MIXED_WORDS = re.compile(r"[a-z]?(?:[A-Z]+(?=[A-Z][a-z]|\Z)|[A-Z]?[a-z]{2,}+)+")
+#: Names that only a password has.
+PASSWORD_NAMES = {"password", "passwort", "passwd", "pwd", "passphrase", "passcode"}
 LETTER = re.compile(r"[A-Za-z0-9_]")
 
 
@@ -146,8 +150,11 @@ def hits(text: str, chunk: int = CHUNK) -> Iterator[tuple[int, int, tuple]]:
         done = begin + chunk
 
 
-def plausible(value: str, quoted: bool) -> bool:
-    """Whether a text in a secret's place is a secret rather than a placeholder, a reference or code."""
+def plausible(value: str, quoted: bool, password: bool = False) -> bool:
+    """Whether a text in a secret's place is a secret rather than a placeholder, a reference or code.
+
+    ``password``: the value stands in quotes after a name that only a password has.
+    """
     if len(value) < 6 or PLACEHOLDER.search(value) or REFERENCE.search(value) or HEXHASH.match(value):
         return False
     if any(c.isspace() for c in value) or not value.isascii():
@@ -157,6 +164,8 @@ def plausible(value: str, quoted: bool) -> bool:
         return True
     if WORDY.fullmatch(value):
         # Letters alone: a name of something, unless it is long and mixes case as only random letters do.
+        if password and value.isalpha() and len(value) >= 9 and not value.islower() and not value.isupper() and not MIXED_WORDS.fullmatch(value):
+            return True
         changes = sum(a.islower() != b.islower() for a, b in zip(value, value[1:]) if a.isalpha() and b.isalpha())
         return "_" not in value and len(value) >= 9 and changes >= len(value) // 3 and not CAMEL.fullmatch(value)
     if not quoted and ("(" in value or IDENTIFIER.fullmatch(value) and digits == 0):
@@ -198,7 +207,7 @@ def name_value(text: str, start: int, end: int) -> tuple[int, int] | None:
         at = m.end()
     if value := QUOTED.match(text, at):
         s, e = value.span(2)
-        return (s, e) if plausible(text[s:e], True) and (not inside or strong(text[s:e])) else None
+        return (s, e) if plausible(text[s:e], True, word.lower() in PASSWORD_NAMES) and (not inside or strong(text[s:e])) else None
     if value := BARE.match(text, at):
         s, e = value.span()
         while e > s and text[e - 1] in ",)]}\\":
