@@ -4,7 +4,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from threshline.operators.flatten import ELEMENT, EVENT_CHILDREN, REQUEST_CHILDREN, NotOneObject, column_children, json_children, triples
+from threshline.operators.flatten import ELEMENT, EVENT_CHILDREN, REQUEST_CHILDREN, NotOneObject, column_children, json_children, triples, review_child_table
 
 WANTED = {path for path, _, _ in EVENT_CHILDREN.values()}
 scalars = st.none() | st.booleans() | st.integers(-(10**6), 10**6) | st.floats(allow_nan=False, allow_infinity=False) | st.text(max_size=6)
@@ -84,3 +84,15 @@ def test_columns(spark):
     got = column_children(spark.createDataFrame(rows, schema), "mr_row", REQUEST_CHILDREN, ("title",)).collect()
     assert sorted((r.kind, r.parent_id, r.pos, r.child_key) for r in got) == [("commit", 1, 0, "c1"), ("commit_author", 1, 0, "e@x"), ("label", 1, 0, "5"), ("label", 1, 3, "5")]
     assert column_children(spark.createDataFrame([], schema), "mr_row", REQUEST_CHILDREN).collect() == []
+
+
+def test_child_tables_have_all_fields(spark):
+    text = '{"issue":{"labels":[{"name":"a","color":"f00","by":{"who":"x","n/m":[1,null,2]}},"b"],"user":{"login":"u","id":5}}}'
+    events = spark.createDataFrame([(1, text)], "event_row LONG, payload STRING")
+    schema = "mr_row LONG, labels ARRAY<STRUCT<id: LONG, title: STRING, color: STRING>>, last_commit STRUCT<id: STRING, message: STRING, author: STRUCT<name: STRING, email: STRING>>"
+    requests = spark.createDataFrame([(7, [(1, "t", None), (2, None, "c")], ("s", "m", ("n", "e")))], schema)
+    rows = lambda kind: sorted(tuple(r) for r in review_child_table(events, requests, kind).collect())
+    assert rows("gh_label") == [(1, 0, "a", {"name": "a", "color": "f00", "by/who": "x", "by/n~1m/0": "1", "by/n~1m/2": "2"}), (1, 1, "b", {"name": "b"})]
+    assert rows("user") == [(1, 0, "u", {"login": "u", "id": "5"})] and rows("assignee") == []
+    assert rows("label") == [(7, 0, "1", "1", "t", None), (7, 1, "2", "2", None, "c")]
+    assert rows("commit") == [(7, 0, "s", "s", "m")] and rows("commit_author") == [(7, 0, "e", "n", "e")]

@@ -1,8 +1,8 @@
 """Nested records as related flat tables that keep the key of their parent row and the position of each child.
 
 JSON texts are parsed as a stream: one pass of a lexer over the text yields path-value-ordinal triples, only for the paths
-that are asked for, and a record counts only when the whole text is one object.  Nested columns give the same triples
-from their schema, inside Catalyst.  Triples with the same repeated ancestor (a path and its position) form one child;
+that are asked for, and a record counts only when the whole text is one object.  Nested columns have
+their paths in the schema: there a transform and an explode per child, inside Catalyst, take the place of the triples.  Triples with the same repeated ancestor (a path and its position) form one child;
 each such group is pivoted into one row.  As all triples of a record are in one place, the pivot needs no shuffle.
 """
 
@@ -117,11 +117,17 @@ def triples(text: str, wanted: set[Path]) -> list[tuple[Path, tuple[int, ...], s
         state = "after"
 
 
-def json_children(df: DataFrame, key: str, text: str, children: dict[str, tuple[Path, str, bool]], fields: tuple[str, ...] = ()) -> DataFrame:
+def pointed(name: str) -> str:
+    """A key as JSON pointers write it."""
+    return name.replace("~", "~0").replace("/", "~1")
+
+
+def json_children(df: DataFrame, key: str, text: str, children: dict[str, tuple[Path, str, bool]], fields: tuple[str, ...] | None = ()) -> DataFrame:
     """(kind, parent_id, pos, child_key, fields): one row per child of each JSON text.
 
     ``children`` maps a kind to (path, name of the key field, whether a bare text may stand for the child).  The map
-    ``fields`` has the child's scalars named in ``fields``, pivoted from its triples.  Null texts and texts that are not
+    ``fields`` has the child's scalars named in ``fields``, or all when it is None, pivoted from its triples.  Scalars of
+    deeper levels are named as in a JSON pointer without its first slash ("author/name", "topics/0").  Null texts and texts that are not
     one whole object have no children; neither have elements that are null or whose key is null, empty, absent or no text
     or number; positions count all elements.
     """
@@ -144,17 +150,22 @@ def json_children(df: DataFrame, key: str, text: str, children: dict[str, tuple[
                     kind, name, bare = by_path[path[:n]]
                     rest = path[n:]
                     pos, rest = (ordinals[0], rest[1:]) if rest and rest[0] == ELEMENT else (0, rest)
-                    if len(rest) > 1 or rest == (ELEMENT,):
-                        continue  # deeper levels are children of their own, when asked for
                     child = groups.setdefault((kind, pos), {})
                     if rest:
-                        child[rest[0]] = x
+                        if len(rest) > 1 or rest == (ELEMENT,):
+                            if fields == ():
+                                continue
+                            inner = list(ordinals[len(ordinals) - rest.count(ELEMENT) :])
+                            child["/".join(str(inner.pop(0)) if r == ELEMENT else pointed(r) for r in rest)] = x
+                        else:
+                            child[pointed(rest[0])] = x
                     elif bare and x is not None:
-                        child[name] = x
+                        child[pointed(name)] = x
                 for (kind, pos), child in groups.items():
                     name = children[kind][1]
-                    if child.get(name):
-                        for column, x in zip(rows, (kind, parent, pos, child[name], [(f, child[f]) for f in fields if child.get(f) is not None])):
+                    if child.get(pointed(name)):
+                        wished = sorted(child) if fields is None else fields
+                        for column, x in zip(rows, (kind, parent, pos, child[pointed(name)], [(f, child[f]) for f in wished if child.get(f) is not None])):
                             column.append(x)
             types = (pa.string(), batch.schema.field(0).type, pa.int32(), pa.string(), pa.map_(pa.string(), pa.string()))
             yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(rows, types)], ["kind", "parent_id", "pos", "child_key", "fields"])
@@ -163,7 +174,7 @@ def json_children(df: DataFrame, key: str, text: str, children: dict[str, tuple[
     return df.where(F.col(text).isNotNull()).select(key, text).mapInArrow(run, schema)
 
 
-def column_triples(df: DataFrame, kind: str, column: str, name: str, fields: tuple[str, ...] = ()) -> Column:
+def column_array(df: DataFrame, kind: str, column: str, name: str, fields: tuple[str, ...] = ()) -> Column:
     """The children of one nested column as an array of (kind, pos, child_key, fields); a struct is one child at 0."""
     parts = column.split(".")
     data = df.schema[parts[0]].dataType
@@ -191,7 +202,7 @@ def column_children(df: DataFrame, key: str, children: dict[str, tuple[str, str]
 
     ``children`` maps a kind to (column, name of the key field).  Null columns, elements and keys and empty keys give no row.
     """
-    parts = [column_triples(df, kind, column, name, fields) for kind, (column, name) in children.items()]
+    parts = [column_array(df, kind, column, name, fields) for kind, (column, name) in children.items()]
     everything = df.select(F.col(key).alias("parent_id"), F.explode(F.concat(*[p.cast(_CHILDREN) for p in parts])).alias("c"))
     return everything.select("c.kind", "parent_id", "c.pos", "c.child_key", "c.fields").where("child_key <> ''")
 
@@ -205,3 +216,19 @@ def review_children(events: DataFrame, requests: DataFrame) -> DataFrame:
     """(kind, parent_id, pos, child_key): the children of raw events and of merge requests."""
     columns = ("kind", "parent_id", "pos", "child_key")
     return json_children(events, "event_row", "payload", EVENT_CHILDREN).select(*columns).unionByName(column_children(requests, "mr_row", REQUEST_CHILDREN).select(*columns))
+
+
+def review_child_table(events: DataFrame, requests: DataFrame, kind: str) -> DataFrame:
+    """The children of one kind with all their scalar fields: (parent_id, pos, child_key) and the fields.
+
+    Children of raw events have them in the map ``fields``, as their keys follow from the texts.  Nested columns give a
+    column of text for each; nested structs are children of their own kinds.
+    """
+    if kind in EVENT_CHILDREN:
+        return json_children(events, "event_row", "payload", {kind: EVENT_CHILDREN[kind]}, None).select("parent_id", "pos", "child_key", "fields")
+    column, name = REQUEST_CHILDREN[kind]
+    data = requests.select(column).schema[0].dataType
+    element = data.elementType if isinstance(data, T.ArrayType) else data
+    fields = tuple(f.name for f in element if not isinstance(f.dataType, (T.StructType, T.ArrayType, T.MapType)))
+    children = column_children(requests, "mr_row", {kind: (column, name)}, fields)
+    return children.select("parent_id", "pos", "child_key", *[F.col("fields")[f].alias(f) for f in fields])

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from threshline.operators.deliveries import dropped_deliveries, kept_deliveries
-from threshline.operators.flatten import review_children
+from threshline.operators.flatten import EVENT_CHILDREN, REQUEST_CHILDREN, review_child_table, review_children
 from threshline.operators.instants import instants
 from threshline.session import table
 
@@ -29,8 +29,12 @@ def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return review_children(table(spark, sf_dir, "github_event"), table(spark, sf_dir, "merge_request"))
 
 
+def child_table(kind: str) -> Callable[[SparkSession, str], DataFrame]:
+    return lambda spark, sf_dir: review_child_table(table(spark, sf_dir, "github_event"), table(spark, sf_dir, "merge_request"), kind)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p1_found": p1_found, "p1_kept": p1_kept, "p4_found": p4_found, "p6_found": p6_found}
+    return {"p1_found": p1_found, "p1_kept": p1_kept, "p4_found": p4_found, "p6_found": p6_found, **{f"p6_{kind}": child_table(kind) for kind in (*EVENT_CHILDREN, *REQUEST_CHILDREN)}}
 
 
 _RANKED = """
