@@ -1,6 +1,6 @@
 import pytest
 
-from threshline.llm.source_filter import by_machine, declared, machine_made, mined_match, parse_attributes
+from threshline.llm.source_filter import by_machine, conventional, declared, machine_made, parse_attributes
 
 CODE = "@@ -0,0 +1,3 @@\n+def total(rows):\n+    return sum(rows)\n+\n"
 MADE = [
@@ -48,9 +48,9 @@ def test_precedence():
     assert declared("a", [("", parse_attributes("a linguist-generated\na !linguist-generated"))]) == {}
 
 
-def test_declaration_beats_mined_rules():
+def test_declaration_beats_conventions():
     assert not by_machine("vendor/a/x.js", CODE, [("", parse_attributes("vendor/** -linguist-vendored"))])
-    assert mined_match("vendor/a/x.js") and not mined_match("vendor/x.js")
+    assert conventional("vendor/a/x.js") and not conventional("vendor/x.js")
 
 
 @pytest.mark.parametrize("most", [10**7, -1])
@@ -64,3 +64,29 @@ def test_table(spark, monkeypatch, most):
     got = machine_made(spark.createDataFrame(rows, schema)).where("by_machine").collect()
     assert sorted(r.diff_id for r in got) == [3, 7, 7]
     assert machine_made(spark.createDataFrame([], schema)).collect() == []
+
+
+@pytest.mark.parametrize("text", [
+    "toolgen 4.1: transcription of a.idl, renewed by every nightly build", "Generado por toolc; no editar a mano", "Bu: dosya", "由 toolc 自动生成，请勿手动修改", "toolc가 자동 생성한 파일입니다. 수정하지 마십시오", "Wygenerowano przez toolc, nie edytować",
+    "Rendered from page.tmpl, do not change by hand", "Diese Datei wurde von toolc erzeugt", "Generato da toolc - non modificare",
+])
+def test_notices_by_parts(text):
+    assert by_machine("x.c", f"+// {text}\n" + CODE) == (text != "Bu: dosya")
+
+
+@pytest.mark.parametrize("text", ["Do not change the order of these steps.", "The output of page.tmpl is checked below", "Maintained by hand since the generated one was lost, do not edit", "Emits the generated pages; never edit them", "Nicht vergessen: hier wird nichts erzeugt"])
+def test_no_notices(text):
+    assert not by_machine("x.c", f"+// {text}\n" + CODE)
+
+
+@pytest.mark.parametrize("most", [10**6, -1])
+def test_mined_patterns_apply_to_the_rest(spark, monkeypatch, most):
+    monkeypatch.setattr("threshline.llm.mining.MOST_BROADCAST", most)
+    schema = "diff_id LONG, new_path STRING, diff STRING, project_id INT, received_at STRING"
+    minified = "+" + "function a(b,c){return b.d(c,1)}for(var e=0;e<9;e++)f[e]&&f[e].g();" * 8
+    rows = [(k, f"assets{k}/packed/p{k}.js", minified, k % 6, "1") for k in range(20)] + [(100, "lib/packed/small.js", CODE, 9, "1"), (101, "lib/packing/small.js", CODE, 9, "1")]
+    rows += [(200 + k, f"m{k}.go", f"+// Code generated by tool{k}x. DO NOT EDIT.\n+// Kept in step with the schema of its service, {k}\n" + CODE, k % 6, "1") for k in range(12)]
+    rows += [(300, "n.go", "+// Kept in step with the schema of its service, 77\n" + CODE, 8, "1"), (301, "n.go", "+// Kept in mind\n" + CODE, 8, "1")]
+    rows += [(400, ".gitattributes", "+packed/** -linguist-generated\n+lib/packed/** -linguist-generated", 10, "1"), (401, "lib/packed/small.js", CODE, 10, "1")]
+    got = {r.diff_id for r in machine_made(spark.createDataFrame(rows, schema)).where("by_machine").collect()}
+    assert got == {*range(20), *range(200, 212), 100, 300}

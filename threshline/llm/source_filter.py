@@ -2,9 +2,10 @@
 
 Paths are judged by repository attribute files.  Every ``.gitattributes`` among the rows declares rules for its directory
 and below; for each attribute the last matching rule of the deepest directory wins, so a nearer file or a later line can
-take a path out again.  Repositories that declare nothing for a path get MINED_ATTRIBUTES, rules of the same syntax mined
-from paths whose content gave them away.  Content is judged by the notices generators and libraries put at the head of a
-file, by line shape (minified code) and by the share of literal rows (data).
+take a path out again.  For paths that nothing is declared of, CONVENTIONS stand in, rules of the same syntax.  Content is
+judged by notices before the first code, by line shape (minified code) and by the share of literal rows (data).  From the
+files shown so, patterns of paths and comments are mined (``mining``) and applied to the rest of the undeclared files.
+An attribute file is read as far as its diff shows it: rules outside the shown hunks are not known.
 
 Defined results: a null or empty path is judged by content alone, a null or empty diff by path alone, both absent is
 hand-written; a deleted file is judged by the lines it had; repeated rows are each judged.
@@ -18,18 +19,21 @@ from collections.abc import Iterator
 from functools import lru_cache
 
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from threshline.llm.batches import slices
+from threshline.llm.mining import mined, patterns, with_mined
+from threshline.llm.notices import REMARK, has_notice
 from threshline.operators.skew import join_by_frequency
 from threshline.session import checkpointed
 
 #: Attributes that declare a file as not hand-written.
 ATTRIBUTES = ("linguist-generated", "linguist-vendored")
-#: Rules in attribute-file syntax for repositories that declare none.
-MINED_ATTRIBUTES = """
+#: Public conventions of paths, in attribute-file syntax, for repositories that declare none.
+CONVENTIONS = """
 node_modules/** linguist-vendored
 bower_components/** linguist-vendored
 jspm_packages/** linguist-vendored
@@ -103,34 +107,6 @@ Package.resolved linguist-generated
 """
 #: Characters of attribute files that may be broadcast.
 MOST_BROADCAST = 8_000_000
-#: A notice stands within so many lines from the head of what the diff shows, or in its leading comment, however long.
-HEAD_LINES = 12
-#: What a line of a comment begins with, and what looks like one but is an instruction to a preprocessor.
-REMARK = re.compile(r"\s*(?:$|//|\#|--|;|/\*|<!--|\*|%|'\s|\{-)")
-INSTRUCTION = re.compile(r"\s*\#\s*(?:define|undef|include|import|ifn?def|if|elif|else|endif|pragma|error|line|region)\b")
-BLOCKS = (("/*", "*/"), ("<!--", "-->"), ("{-", "-}"))
-COMMENT = re.compile(r"""\s*(?://+!?|\#+|--|;+|/\*+!?|<!--|\*|%+|'|"_comment"\s*:\s*"|\{-)\s*(.*?)\s*(?:\*/|-->|",?|-\})?\s*$""")
-#: What an edit may have put before a notice.
-LEAD = r"(?:\W{0,3}(?:_x|\d{1,2}|new)\s+)?"
-GENERATED = re.compile(
-    LEAD
-    + r"""(?: <auto-?generated\b | @generated\b | auto-?generated\b(?=.*(?:file|code|overwritten|edit|by\b))
-      | (?:this|the)\ (?:file|code|module|source|class)\ (?:was|is|has\ been)\ (?:\w+\ ){0,2}(?:auto-?)?(?:generated|produced|created|written)\ (?:by|from|with)\b
-      | (?:code|file|source|automatically)\ generated\ (?:by|from|with)\b
-      | generated\ (?:by|from|with)\b(?=.*(?:do\ not|don't|edit|modify|\bwith\b|\bby\b|compiler|generator))
-      | machine-?\s?(?:written|generated|made)\b | produced\ by\ the\ \S+\ (?:compiler|generator)\b | build\ (?:product|artifact|artefact)\b
-      | do\ not\ (?:edit|modify)\b(?=.*\bgenerated\b(?!\ \w+\ files)) | (?:edits|changes)\ (?:to\ this\ file\ )?(?:will\ be|are)\ (?:lost|overwritten) )""",
-    re.I | re.X,
-)
-VENDORED = re.compile(
-    LEAD
-    + r"""(?: upstream:\s | imported\ from\ the\ \S+\ (?:release|source|upstream)\b | (?:copied|vendored|taken|imported)\ (?:verbatim\ |unchanged\ )?from\ (?:upstream|the\ upstream|https?:|the\ \S+\ (?:project|library|release|repository))
-      | (?:copyright\ )?(?:\(c\)|©)\ \d{4}(?:\s?-\s?\d{4})?,?\ (?:the\ )?\S+\ (?:contributors|authors|developers|project)\b
-      | copyright\ (?:\(c\)\ |©\ )?\d{4}(?:\s?-\s?\d{4})?,?\ (?:the\ )?\S+\ (?:contributors|authors|developers|project)\b
-      | spdx-filecopyrighttext:\ (?:\d{4}(?:-\d{4})?\ )?the\ \S+\ (?:contributors|authors|developers|project)\b
-      | \S+\ (?:-|v\d\S*\ -)\ .{3,60}\blibrary,?\ version\ \d | /?!?\s?\S+\ v\d+\.\d+\.\d+\ \|\ )""",
-    re.I | re.X,
-)
 #: What names the files before the first hunk; a removed line of a comment may begin with the same signs later.
 FILE_HEADER = re.compile(r"(?:(?:diff|index|similarity|rename|new file|deleted file|old mode|new mode)\b[^\n]*\n)*--- [^\n]*\n\+\+\+ [^\n]*(?:\n|\Z)")
 ARMOR = re.compile(r"-----BEGIN [A-Z0-9 ]+-----")
@@ -164,29 +140,6 @@ def content_lines(diff: str) -> list[str]:
     return new if sum(map(len, new)) >= sum(map(len, old)) else old
 
 
-def leading_comment(lines: list[str]) -> int:
-    """How many lines from the head on are comments or blank."""
-    until = None
-    for n, line in enumerate(lines):
-        if until is None:
-            if not REMARK.match(line) or INSTRUCTION.match(line):
-                return n
-            for begin, end in BLOCKS:
-                if line.lstrip().startswith(begin):
-                    until = end
-        if until and until in line:
-            until = None
-    return len(lines)
-
-
-def has_notice(lines: list[str]) -> bool:
-    for line in lines[: max(HEAD_LINES, leading_comment(lines))]:
-        m = COMMENT.match(line)
-        if m and (GENERATED.match(m[1]) or VENDORED.match(m[1])):
-            return True
-    return False
-
-
 def _dense(line: str) -> bool:
     blanks = line.count(" ") + line.count("\t")
     signs = sum(map(line.count, "{}();,=:.&|[]<>"))
@@ -202,8 +155,8 @@ def is_minified(lines: list[str]) -> bool:
 
 def is_data(lines: list[str]) -> bool:
     """Nearly all characters are rows of literals, more than a small table has, and not one literal alone."""
-    body = [x for x in lines if x.strip()]
-    if any(ARMOR.search(x) for x in body):
+    body = [x for x in lines if x.strip() and (not REMARK.match(x) or DATA_ROW.match(x))]
+    if any(ARMOR.search(x) for x in lines):
         return False
     total = sum(len(x.strip()) for x in body)
     rows = [x for x in body if DATA_ROW.match(x)]
@@ -267,36 +220,35 @@ def declared(path: str, files: list[tuple[str, list[tuple[str, str, bool | None]
     return {k: v for k, v in out.items() if v is not None}
 
 
-def mined_match(path: str) -> bool:
-    """Whether a mined rule matches a path; one with a directory holds at any depth."""
+def conventional(path: str) -> bool:
+    """Whether a rule of CONVENTIONS matches a path; one with a directory holds at any depth."""
     base = path.rpartition("/")[2]
-    return any(e.search(path) if deep else e.match(base) for e, deep in _mined())
+    return any(e.search(path) if deep else e.match(base) for e, deep in _conventions())
 
 
 @lru_cache(maxsize=1)
-def _mined() -> list[tuple[re.Pattern, bool]]:
+def _conventions() -> list[tuple[re.Pattern, bool]]:
     out = []
-    for pattern, _, _ in parse_attributes(MINED_ATTRIBUTES):
+    for pattern, _, _ in parse_attributes(CONVENTIONS):
         expression, deep = glob(pattern)
         out.append((re.compile(r"(?:\A|/)" + expression.pattern) if deep else expression, deep))
     return out
 
 
 def by_machine(path: str | None, diff: str | None, files: list[tuple[str, list]] = ()) -> bool:
-    """Whether a file is no hand-written source: what is declared for its path, else what is mined, else its content."""
-    if path:
-        said = declared(path, files) if files else {}
-        if any(said.values()):
-            return True
-        if said and not any(said.values()):
-            return False
-        if mined_match(path):
-            return True
-    if not diff:
-        return False
-    new, old = sides(diff)
+    """Whether a file is shown to be no hand-written source: by what is declared for its path, else by convention or content."""
+    return judged(path, diff, files)[0]
+
+
+def judged(path: str | None, diff: str | None, files: list[tuple[str, list]] = ()) -> tuple[bool, bool, list[int]]:
+    """(shown to be no hand-written source, declared to be it or not, codes of its patterns)."""
+    new, old = sides(diff) if diff else ([], [])
+    said = declared(path, files) if path and files else {}
+    if said:
+        return any(said.values()), True, patterns(path, (new, old))
     lines = new if sum(map(len, new)) >= sum(map(len, old)) else old
-    return has_notice(new) or has_notice(old) or is_minified(lines) or is_data(lines)
+    shown = bool(path) and conventional(path) or has_notice(new) or has_notice(old) or is_minified(lines) or is_data(lines)
+    return shown, False, patterns(path, (new, old))
 
 
 def attribute_files(df: DataFrame) -> DataFrame:
@@ -314,7 +266,7 @@ def attribute_files(df: DataFrame) -> DataFrame:
 
 
 def machine_made(df: DataFrame) -> DataFrame:
-    """(diff_id, by_machine) of every row of st_diff, in one pass.
+    """(diff_id, by_machine) of every row of st_diff: one pass over the texts, then joins of the patterns' codes.
 
     The attribute files are written once and measured.  Up to MOST_BROADCAST characters they are broadcast; beyond that
     they meet the rows by project through a shuffle in which large projects are split.
@@ -327,13 +279,14 @@ def machine_made(df: DataFrame) -> DataFrame:
     else:
         counts = df.where("project_id IS NOT NULL").groupBy("project_id").agg(F.count("*").alias("_rows"))
         rows = join_by_frequency(rows, counts.join(files, "project_id"), "project_id", "_rows", F.col("diff_id"), "left")
-    rows = rows.select("diff", "diff_id", "new_path", "attribute_files")
+    rows = rows.select("diff", "diff_id", "new_path", "project_id", "attribute_files")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parsed: dict[str, list] = {}
+        n = TaskContext.get().partitionId() << 33
         for batch, start, texts in ((b, *s) for b in batches for s in slices(b.column(0))):
-            ids, paths, sets = (batch.column(k).slice(start, len(texts)) for k in (1, 2, 3))
-            flags = []
+            ids, paths, projects, sets = (batch.column(k).slice(start, len(texts)) for k in (1, 2, 3, 4))
+            results = []
             for text, path, files in zip(texts, paths.to_pylist(), sets.to_pylist()):
                 rules = []
                 for f in files or []:
@@ -342,8 +295,14 @@ def machine_made(df: DataFrame) -> DataFrame:
                             parsed.clear()
                         parsed[f["text"]] = parse_attributes("\n".join(content_lines(f["text"])))
                     rules.append((f["folder"], parsed[f["text"]]))
-                flags.append(by_machine(path, text, rules))
-            yield pa.RecordBatch.from_arrays([ids, pa.array(flags, pa.bool_())], ["diff_id", "by_machine"])
-
-    schema = T.StructType([df.schema["diff_id"], T.StructField("by_machine", T.BooleanType())])
-    return rows.mapInArrow(run, schema)
+                results.append(judged(path, text, rules))
+            shown, said, codes = (pa.array([r[k] for r in results], t) for k, t in enumerate((pa.bool_(), pa.bool_(), pa.list_(pa.int64()))))
+            yield pa.RecordBatch.from_arrays([pa.array(range(n, n + len(texts)), pa.int64()), ids, projects, shown, said, codes], names)
+            n += len(texts)
+
+    names = ["_row", "diff_id", "project", "shown", "declared", "patterns"]
+    kinds = (T.LongType(), df.schema["diff_id"].dataType, df.schema["project_id"].dataType, T.BooleanType(), T.BooleanType(), T.ArrayType(T.LongType()))
+    # Written once: the patterns are counted over all files and then looked up, and neither reads a diff again.
+    files = checkpointed(rows.mapInArrow(run, T.StructType([T.StructField(c, k) for c, k in zip(names, kinds)])))
+    more = with_mined(files, "_row", checkpointed(mined(files))).withColumn("_mined", F.lit(True))
+    return files.select("_row", "diff_id", "shown").join(more, "_row", "left").select("diff_id", (F.col("shown") | F.coalesce("_mined", F.lit(False))).alias("by_machine"))
