@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from threshline.llm.packing import pack_texts
 from threshline.llm.secrets import scan_secrets, secret_places
-from threshline.llm.shared_spans import passages, shared_spans
+from threshline.llm.shared_spans import members, passages, shared_spans
 from threshline.llm.source_filter import machine_made
 from threshline.llm.splitter import oversized_report, split_oversized
 from threshline.llm.tokenizer import encode_corpus
@@ -62,8 +62,13 @@ def p9_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return passages(table(spark, sf_dir, "documents"))
 
 
+def p9_members(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(seed, doc_id, start_pos): the members of every group of documents with a common seed."""
+    return members(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (p2_found, p3_found, p3_redacted, p5_found, p5_pieces, p7_ids, p8_containers, p9_found, p9_shared, p9_passages)
+    found = (p2_found, p3_found, p3_redacted, p5_found, p5_pieces, p7_ids, p8_containers, p9_found, p9_shared, p9_passages, p9_members)
     return {f.__name__: f for f in found}
 
 
