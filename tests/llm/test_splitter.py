@@ -42,3 +42,10 @@ def test_report(spark):
         found = sorted((r.piece_no, r.start_pos, r.piece) for r in pieces.where(f"diff_id = {key}").collect())
         assert all(len(p) <= 4000 and text[s - 1 : s - 1 + len(p)] == p for _, s, p in found)
         assert all(b[2].startswith(a[2][-200:]) for a, b in zip(found, found[1:]))
+
+
+def test_no_short_piece_before_a_line_that_is_cut_anyway():
+    pieces, cut = split_text("\n" + "a" * 9000)
+    assert cut == [2] and all(e - s >= 2000 for s, e in pieces) and all(b[0] == a[1] - 200 for a, b in zip(pieces, pieces[1:]))
+    pieces, cut = split_text("ab\n" + "c" * 3798)  # here the short part spares the line
+    assert cut == [] and [e for _, e in pieces] == [3, 3801]

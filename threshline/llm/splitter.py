@@ -38,8 +38,12 @@ def boundaries(text: str) -> list[list[int]]:
     return [hunks, blanks, [m.end() for m in LINE_END.finditer(text)]]
 
 
-def cut_near(cuts: list[list[int]], low: int, high: int) -> int | None:
-    """The strongest boundary in the middle half of (low, high), nearest to the midpoint; else the nearest of any kind."""
+def cut_near(cuts: list[list[int]], low: int, high: int, room: int, least: int) -> int | None:
+    """The strongest boundary in the middle half of (low, high), nearest to the midpoint; else the nearest of any kind.
+
+    One that leaves less than ``least`` characters on a side is taken only where the other side then fits: else what
+    remains is a line that must be cut inside anyway, and the short part would be a piece for nothing.
+    """
     middle, quarter = (low + high) // 2, (high - low) // 4
     for a, b in ((low + quarter, high - quarter), (low, high)):
         for level in cuts:
@@ -47,13 +51,15 @@ def cut_near(cuts: list[list[int]], low: int, high: int) -> int | None:
             k = bisect_left(level, middle)
             for j in (k - 1, k):
                 if 0 <= j < len(level) and a < level[j] < b:
-                    near.append(level[j])
+                    x = level[j]
+                    if min(x - low, high - x) >= least or max(x - low, high - x) <= room:
+                        near.append(x)
             if near:
                 return min(near, key=lambda x: (abs(x - middle), x))
     return None
 
 
-def bisect(text: str, room: int) -> tuple[list[int], list[int]]:
+def bisect(text: str, room: int, least: int = OVERLAP) -> tuple[list[int], list[int]]:
     """(ends of the parts, positions cut inside a line).  An explicit stack: depth does not follow the text."""
     cuts = boundaries(text)
     ends, forced = [], []
@@ -63,7 +69,7 @@ def bisect(text: str, room: int) -> tuple[list[int], list[int]]:
         if high - low <= room:
             ends.append(high)
             continue
-        at = cut_near(cuts, low, high)
+        at = cut_near(cuts, low, high, room, least)
         if at is None:
             at = (low + high) // 2
             if text[at - 1] == "\r" and text[at] == "\n":
@@ -77,7 +83,7 @@ def split_text(text: str, limit: int = LIMIT, overlap: int = OVERLAP) -> tuple[l
     """(start, end) of every piece with its overlap, and the 1-based numbers of lines that had to be cut inside."""
     if not 0 <= overlap < limit:
         raise ValueError("the overlap must be below the limit")
-    ends, forced = bisect(text, limit - overlap)
+    ends, forced = bisect(text, limit - overlap, overlap)
     pieces = [(max(0, start - overlap) if start else 0, end) for start, end in zip([0, *ends], ends)]
     feeds = boundaries(text)[2] if forced else []
     return pieces, sorted({bisect_right(feeds, at) + 1 for at in forced})
