@@ -2,7 +2,7 @@ import random
 
 import pytest
 
-from threshline.operators.deliveries import dropped_deliveries, kept_deliveries
+from threshline.operators.deliveries import dropped_deliveries, kept_deliveries, merged_deliveries
 from threshline.operators.skew import join_by_frequency
 from pyspark.sql import functions as F
 
@@ -30,6 +30,16 @@ def test_hot_group_ties_and_nulls(spark, part):
     assert sorted(dropped + kept) == [r[0] for r in rows]
 
 
+@pytest.mark.parametrize("cut", [0, 1, 250, 600])
+def test_stored_and_new(spark, cut):
+    rnd = random.Random(2)
+    rows = [(k, rnd.choice([7] * 9 + list(range(60)) + [None]), rnd.choice([None, "2024-01-01T00:00:00Z", "2024-01-01T09:00:00+09:00", "2024-02-01T00:00:00Z"]), "x", None) for k in range(600)]
+    old, new = (spark.createDataFrame(part, SCHEMA) for part in (rows[:cut], rows[cut:]))
+    stored = old.join(kept_deliveries(old, rows_per_part=20), "delivery_id", "left_semi")
+    everything = kept_deliveries(spark.createDataFrame(rows, SCHEMA))
+    assert sorted(merged_deliveries(stored, new, rows_per_part=20).collect()) == sorted(everything.collect())
+
+
 def test_offsets_decide_by_instant(spark):
     rows = [(1, 1, "2024-01-01T10:00:00+09:00", "", ""), (2, 1, "2024-01-01 02:00:00 UTC", "", ""), (3, 1, "no time", "", ""), (4, 2, None, "", ""), (5, 2, None, "", "")]
     assert sorted(r[0] for r in dropped_deliveries(spark.createDataFrame(rows, SCHEMA)).collect()) == [1, 3, 5]

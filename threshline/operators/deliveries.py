@@ -2,34 +2,36 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from threshline.functions.timestamps import with_instant
 from threshline.operators.skew import ROWS_PER_PART, join_by_frequency
+from threshline.session import checkpointed
 
 
-def ranked_groups(keys: DataFrame, key: str, row: str) -> DataFrame:
-    """(key, _n, _row): how often each key occurs, and the row that ranks first: latest ``_at``, then the smallest ``row``.
+def labelled(df: DataFrame, key: str, row: str, updated: str, rows_per_part: int = ROWS_PER_PART) -> DataFrame:
+    """(row, keep) of every row with an identifier.
 
-    One aggregate with map-side combine, so a key that holds a third of all rows is one row a task before the shuffle.
+    Identifiers are split by their aggregated frequency, which reads nothing but them.  Rows whose identifier occurs once
+    pass directly.  Only rows of repeated groups get their time read and are ranked, each part of a large group by itself,
+    then the first rows of its parts.  Both sides are united.
     """
-    best = F.max_by(row, F.struct(F.coalesce("_at", F.lit(-(1 << 63))).alias("at"), (-F.col(row)).alias("row")))
-    return keys.groupBy(key).agg(F.count("*").alias("_n"), best.alias("_row"))
-
-
-def split_by_frequency(df: DataFrame, key: str, row: str, updated: str, rows_per_part: int = ROWS_PER_PART) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(rows without a repeat, (row, _keep) of the repeated groups, frequencies).
-
-    Identifiers are split by their aggregated frequency.  Those that occur once pass with their row number; only repeated
-    groups are ranked and joined back, in parts where a group is large.  Null identifiers belong to no group.
-    """
-    narrow = with_instant(df.where(F.col(key).isNotNull()).select(F.col(key), F.col(row), F.col(updated).alias("_updated")), "_updated", "_at")
-    groups = ranked_groups(narrow.select(key, row, "_at"), key, row)
-    single = groups.where("_n = 1").select(F.col("_row").alias(row))
-    ids = df.where(F.col(key).isNotNull()).select(key, row)
-    repeated = join_by_frequency(ids, groups.where("_n > 1"), key, "_n", F.col(row), rows_per_part=rows_per_part)
-    return single, repeated.select(row, (F.col(row) == F.col("_row")).alias("_keep")), groups
+    named = df.where(F.col(key).isNotNull())
+    repeated = checkpointed(named.groupBy(F.col(key).alias("_id")).agg(F.count("*").alias("_n")).where("_n > 1"))
+    narrow = named.select(F.col(key).alias("_id"), F.col(row).alias("_row"), F.col(updated).alias("_updated"))
+    split = join_by_frequency(narrow, repeated, "_id", "_n", F.col("_row"), "left", rows_per_part, part="_part")
+    single = split.where("_n IS NULL").select(F.col("_row").alias(row), F.lit(True).alias("keep"))
+    timed = with_instant(split.where("_n IS NOT NULL"), "_updated", "_at")
+    order = (F.col("_at").desc_nulls_last(), F.col("_row"))
+    # The join has brought the parts together already, so this window needs no further shuffle.  The count follows from the
+    # identifier; as a key of the window it lets the choice of split groups below go through to the join.
+    first = timed.withColumn("_rank", F.row_number().over(Window.partitionBy("_id", "_part", "_n").orderBy(*order)))
+    whole = F.col("_n") <= rows_per_part
+    settled = first.where(whole | (F.col("_rank") > 1)).select(F.col("_row").alias(row), (F.col("_rank") == 1).alias("keep"))
+    # One row a part of each split group is left.
+    heads = first.where(~whole & (F.col("_rank") == 1)).withColumn("_rank", F.row_number().over(Window.partitionBy("_id").orderBy(*order)))
+    return single.unionByName(settled).unionByName(heads.select(F.col("_row").alias(row), (F.col("_rank") == 1).alias("keep")))
 
 
 def dropped_deliveries(df: DataFrame, key: str = "id", row: str = "delivery_id", updated: str = "updated_at", rows_per_part: int = ROWS_PER_PART) -> DataFrame:
@@ -39,11 +41,19 @@ def dropped_deliveries(df: DataFrame, key: str = "id", row: str = "delivery_id",
     all), of equal ones the smallest row number.  Rows with a null identifier are never dropped.  An empty table gives an
     empty result; row numbers are unique.
     """
-    _, repeated, _ = split_by_frequency(df, key, row, updated, rows_per_part)
-    return repeated.where(~F.col("_keep")).select(row)
+    return labelled(df, key, row, updated, rows_per_part).where("NOT keep").select(row)
 
 
 def kept_deliveries(df: DataFrame, key: str = "id", row: str = "delivery_id", updated: str = "updated_at", rows_per_part: int = ROWS_PER_PART) -> DataFrame:
     """(row): singletons as they are, the first of each repeated group, and rows with a null identifier."""
-    single, repeated, _ = split_by_frequency(df, key, row, updated, rows_per_part)
-    return single.unionByName(repeated.where("_keep").select(row)).unionByName(df.where(F.col(key).isNull()).select(row))
+    return labelled(df, key, row, updated, rows_per_part).where("keep").select(row).unionByName(df.where(F.col(key).isNull()).select(row))
+
+
+def merged_deliveries(stored: DataFrame, new: DataFrame, key: str = "id", row: str = "delivery_id", updated: str = "updated_at", rows_per_part: int = ROWS_PER_PART) -> DataFrame:
+    """(row): what is kept of a stored result and a new batch.
+
+    The latest of all is the latest of the stored latest and the new ones, so the stored rows stand for all that came
+    before: an identifier that the batch doesn't name occurs once and passes without its time being read.
+    """
+    columns = [key, row, updated]
+    return kept_deliveries(stored.select(*columns).unionByName(new.select(*columns)), key, row, updated, rows_per_part)
