@@ -1,10 +1,12 @@
 import json
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from threshline.operators.flatten import ELEMENT, EVENT_CHILDREN, REQUEST_CHILDREN, NotOneObject, column_children, json_children, triples, review_child_table
+from threshline.operators.flatten import ELEMENT, EVENT_CHILDREN, REQUEST_CHILDREN, NotOneObject, column_children, column_triples, json_children, triples, review_child_table
 
 WANTED = {path for path, _, _ in EVENT_CHILDREN.values()}
 scalars = st.none() | st.booleans() | st.integers(-(10**6), 10**6) | st.floats(allow_nan=False, allow_infinity=False) | st.text(max_size=6)
@@ -81,7 +83,7 @@ def test_repeated_key_and_depth(spark):
 def test_columns(spark):
     schema = "mr_row LONG, labels ARRAY<STRUCT<id: LONG, title: STRING>>, last_commit STRUCT<id: STRING, author: STRUCT<name: STRING, email: STRING>>, pos INT"
     rows = [(1, [(5, "a"), None, (None, "b"), (5, "a")], ("c1", ("n", "e@x")), 3), (2, None, None, None), (3, [], ("", None), None)]
-    got = column_children(spark.createDataFrame(rows, schema), "mr_row", REQUEST_CHILDREN, ("title",)).collect()
+    got = column_children(spark.createDataFrame(rows, schema), "mr_row", REQUEST_CHILDREN, {"label": ("title",)}).collect()
     assert sorted((r.kind, r.parent_id, r.pos, r.child_key) for r in got) == [("commit", 1, 0, "c1"), ("commit_author", 1, 0, "e@x"), ("label", 1, 0, "5"), ("label", 1, 3, "5")]
     assert column_children(spark.createDataFrame([], schema), "mr_row", REQUEST_CHILDREN).collect() == []
 
@@ -96,3 +98,24 @@ def test_child_tables_have_all_fields(spark):
     assert rows("user") == [(1, 0, "u", {"login": "u", "id": "5"})] and rows("assignee") == []
     assert rows("label") == [(7, 0, "1", "1", "t", None), (7, 1, "2", "2", None, "c")]
     assert rows("commit") == [(7, 0, "s", "s", "m")] and rows("commit_author") == [(7, 0, "e", "n", "e")]
+
+
+def test_arrays_in_arrays(spark):
+    """Both levels are tables: the children of the second know the position of their parent in the first."""
+    assert triples('{"a":[{"b":[{"k":1}]}]}', {("a", ELEMENT, "b")}) == [(("a", ELEMENT, "b", ELEMENT, "k"), (0, 0), "1")]
+    text = '{"a":[null,{"k":"p","b":[{"k":1},{"k":2,"c":[7]}]},{"k":"q","b":{"k":3}},{"k":"r","b":[]},5],"k":9}'
+    kinds = {"outer": (("a",), "k", False), "inner": (("a", ELEMENT, "b"), "k", False)}
+    got = json_children(spark.createDataFrame([(1, text), (2, '{"a":{"k":"s","b":[{"k":4}]}}')], "id LONG, t STRING"), "id", "t", kinds, None).collect()
+    assert sorted((r.kind, r.parent_id, r.parent_pos, r.pos, r.child_key) for r in got) == [
+        ("inner", 1, [1], 0, "1"), ("inner", 1, [1], 1, "2"), ("inner", 1, [2], 0, "3"), ("outer", 1, [], 1, "p"), ("outer", 1, [], 2, "q"), ("outer", 1, [], 3, "r"), ("outer", 2, [], 0, "s"),
+    ]
+    assert [r.fields for r in got if r.child_key == "2"] == [{"k": "2", "c/0": "7"}]
+
+
+def test_column_triples_of_nested_lists():
+    values = pa.array([[{"k": 1, "b": [{"x": 5}, None, {"x": 6}]}, None], None, [], [{"k": 2, "b": None}, {"k": 3, "b": [{"x": 7}]}]])
+    got = {path: (rows.tolist(), [o.tolist() for o in ordinals], values.to_pylist()) for path, rows, ordinals, values in column_triples(values, ("a",), np.arange(4))}
+    assert got[("a", ELEMENT, "k")] == ([0, 0, 3, 3], [[0, 1, 0, 1]], [1, None, 2, 3])
+    assert got[("a", ELEMENT, "b", ELEMENT, "x")] == ([0, 0, 0, 3], [[0, 0, 0, 1], [0, 1, 2, 0]], [5, None, 6, 7])
+    part = {path: (rows.tolist(), values.to_pylist()) for path, rows, _, values in column_triples(values.slice(2), ("a",), np.arange(2))}
+    assert part[("a", ELEMENT, "k")] == ([1, 1], [2, 3])

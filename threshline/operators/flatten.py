@@ -1,9 +1,13 @@
 """Nested records as related flat tables that keep the key of their parent row and the position of each child.
 
-JSON texts are parsed as a stream: one pass of a lexer over the text yields path-value-ordinal triples, only for the paths
-that are asked for, and a record counts only when the whole text is one object.  Nested columns have
-their paths in the schema: there a transform and an explode per child, inside Catalyst, take the place of the triples.  Triples with the same repeated ancestor (a path and its position) form one child;
-each such group is pivoted into one row.  As all triples of a record are in one place, the pivot needs no shuffle.
+A record becomes path-value-ordinal triples: where a scalar stands, what it is, and its position in every array on the
+way.  JSON texts give them by one pass of a lexer, only for the paths that are asked for, and a record counts only when
+the whole text is one object.  Nested columns give them in columns: all values of a path of a batch with their rows and
+ordinals.  Triples with the same repeated ancestor (its path and its ordinals) form one child; each such group is pivoted
+into one row of the ancestor's table.  As all triples of a record are in one place, the pivot needs no shuffle.
+
+A child of a child (an array in an array) has the ordinals of all arrays on its way; all but its own are the position of
+its parent in the parent's table.
 """
 
 from __future__ import annotations
@@ -12,7 +16,9 @@ import json
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -39,7 +45,7 @@ def triples(text: str, wanted: set[Path]) -> list[tuple[Path, tuple[int, ...], s
     """(path, ordinals, value) of each scalar at or below a wanted path, in document order.
 
     ``wanted`` holds paths of keys.  In a path ELEMENT stands for any element of an array, whose position is the next of
-    the ordinals.  Of a repeated key the last value counts, as parsers of JSON have it.
+    the ordinals; a wanted path may hold it, too.  Of a repeated key the last value counts, as parsers of JSON have it.
     """
     out: list[tuple[Path, tuple[int, ...], str | None]] = []
     match, at, end = TOKEN.match, 0, len(text)
@@ -97,8 +103,9 @@ def triples(text: str, wanted: set[Path]) -> list[tuple[Path, tuple[int, ...], s
                 state = "first key"
                 continue
             if sign == "[":
-                kept = kept and (path in wanted or stack[-1][4])
-                stack.append([False, path + (ELEMENT,), ordinals, 0, kept, kept, None])
+                below = kept and (path in wanted or stack[-1][4])
+                kept = kept and (below or path + (ELEMENT,) in prefixes)
+                stack.append([False, path + (ELEMENT,), ordinals, 0, below, kept, None])
                 path, ordinals, state = path + (ELEMENT,), ordinals + (0,), "first value"
                 continue
             if kind in (1, 2, 3):
@@ -123,20 +130,21 @@ def pointed(name: str) -> str:
 
 
 def json_children(df: DataFrame, key: str, text: str, children: dict[str, tuple[Path, str, bool]], fields: tuple[str, ...] | None = ()) -> DataFrame:
-    """(kind, parent_id, pos, child_key, fields): one row per child of each JSON text.
+    """(kind, parent_id, parent_pos, pos, child_key, fields): one row per child of each JSON text.
 
     ``children`` maps a kind to (path, name of the key field, whether a bare text may stand for the child).  The map
     ``fields`` has the child's scalars named in ``fields``, or all when it is None, pivoted from its triples.  Scalars of
-    deeper levels are named as in a JSON pointer without its first slash ("author/name", "topics/0").  Null texts and texts that are not
-    one whole object have no children; neither have elements that are null or whose key is null, empty, absent or no text
-    or number; positions count all elements.
+    deeper levels are named as in a JSON pointer without its first slash ("author/name", "topics/0").  Where the path of a
+    kind holds ELEMENT, ``parent_pos`` has the positions of the arrays above the child's own.  Null texts and texts that
+    are not one whole object have no children; neither have elements that are null or whose key is null, empty, absent or
+    no text or number; positions count all elements.
     """
     wanted = {path for path, _, _ in children.values()}
     by_path = {path: (kind, name, bare) for kind, (path, name, bare) in children.items()}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows: tuple[list, ...] = ([], [], [], [], [])
+            rows: tuple[list, ...] = ([], [], [], [], [], [])
             for parent, value in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 try:
                     found = triples(value, wanted)
@@ -148,63 +156,84 @@ def json_children(df: DataFrame, key: str, text: str, children: dict[str, tuple[
                         if path[:n] in by_path:
                             break
                     kind, name, bare = by_path[path[:n]]
-                    rest = path[n:]
-                    pos, rest = (ordinals[0], rest[1:]) if rest and rest[0] == ELEMENT else (0, rest)
-                    child = groups.setdefault((kind, pos), {})
-                    if rest:
-                        if len(rest) > 1 or rest == (ELEMENT,):
-                            if fields == ():
-                                continue
-                            inner = list(ordinals[len(ordinals) - rest.count(ELEMENT) :])
-                            child["/".join(str(inner.pop(0)) if r == ELEMENT else pointed(r) for r in rest)] = x
-                        else:
-                            child[pointed(rest[0])] = x
+                    rest, above = path[n:], path[:n].count(ELEMENT)
+                    own = above + (rest[:1] == (ELEMENT,))
+                    rest = rest[own - above :]
+                    child = groups.setdefault((kind, ordinals[:above], ordinals[above] if own > above else 0), {})
+                    if len(rest) > 1 or rest == (ELEMENT,):
+                        if fields == ():
+                            continue
+                        inner = list(ordinals[own:])
+                        child["/".join(str(inner.pop(0)) if r == ELEMENT else pointed(r) for r in rest)] = x
+                    elif rest:
+                        child[pointed(rest[0])] = x
                     elif bare and x is not None:
                         child[pointed(name)] = x
-                for (kind, pos), child in groups.items():
+                for (kind, above, pos), child in groups.items():
                     name = children[kind][1]
                     if child.get(pointed(name)):
                         wished = sorted(child) if fields is None else fields
-                        for column, x in zip(rows, (kind, parent, pos, child[pointed(name)], [(f, child[f]) for f in wished if child.get(f) is not None])):
+                        for column, x in zip(rows, (kind, parent, above, pos, child[pointed(name)], [(f, child[f]) for f in wished if child.get(f) is not None])):
                             column.append(x)
-            types = (pa.string(), batch.schema.field(0).type, pa.int32(), pa.string(), pa.map_(pa.string(), pa.string()))
-            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(rows, types)], ["kind", "parent_id", "pos", "child_key", "fields"])
+            types = (pa.string(), batch.schema.field(0).type, pa.list_(pa.int32()), pa.int32(), pa.string(), pa.map_(pa.string(), pa.string()))
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(rows, types)], names)
 
-    schema = T.StructType([T.StructField("kind", T.StringType()), T.StructField("parent_id", df.schema[key].dataType), T.StructField("pos", T.IntegerType()), T.StructField("child_key", T.StringType()), T.StructField("fields", T.MapType(T.StringType(), T.StringType()))])
-    return df.where(F.col(text).isNotNull()).select(key, text).mapInArrow(run, schema)
+    names = ["kind", "parent_id", "parent_pos", "pos", "child_key", "fields"]
+    kinds = (T.StringType(), df.schema[key].dataType, T.ArrayType(T.IntegerType()), T.IntegerType(), T.StringType(), T.MapType(T.StringType(), T.StringType()))
+    return df.where(F.col(text).isNotNull()).select(key, text).mapInArrow(run, T.StructType([T.StructField(c, t) for c, t in zip(names, kinds)]))
 
 
-def column_array(df: DataFrame, kind: str, column: str, name: str, fields: tuple[str, ...] = ()) -> Column:
-    """The children of one nested column as an array of (kind, pos, child_key, fields); a struct is one child at 0."""
-    parts = column.split(".")
-    data = df.schema[parts[0]].dataType
-    for part in parts[1:]:
-        data = data[part].dataType
-    value = F.col(column)
-    element = data.elementType if isinstance(data, T.ArrayType) else data
-    fields = tuple(f for f in fields if f in element.fieldNames())
-
-    def child(x: Column, pos: Column) -> Column:
-        pairs = [y for f in fields for y in (F.lit(f), x[f].cast("string"))]
-        table = F.map_filter(F.create_map(*pairs), lambda _, v: v.isNotNull()) if pairs else F.create_map().cast("map<string,string>")
-        return F.struct(F.lit(kind).alias("kind"), pos.cast("int").alias("pos"), x[name].cast("string").alias("child_key"), table.alias("fields"))
+def column_triples(values: pa.Array, path: Path, rows: np.ndarray, ordinals: tuple[np.ndarray, ...] = ()) -> Iterator[tuple[Path, np.ndarray, tuple[np.ndarray, ...], pa.Array]]:
+    """(path, rows, ordinals, values) of every scalar path of a nested column; paths below one array have equal rows and ordinals.
 
+    Nulls stay in place, so that the groups of one ancestor line up; a null list has no elements.
+    """
+    if pa.types.is_struct(values.type):
+        for field, child in zip(values.type, values.flatten()):
+            yield from column_triples(child, path + (field.name,), rows, ordinals)
+    elif pa.types.is_list(values.type) or pa.types.is_large_list(values.type):
+        parent = pc.list_parent_indices(values).to_numpy(zero_copy_only=False).astype(np.int64)
+        pos = np.arange(len(parent)) - np.searchsorted(parent, parent)
+        yield from column_triples(values.flatten(), path + (ELEMENT,), rows[parent], (*(o[parent] for o in ordinals), pos))
+    else:
+        yield path, rows, ordinals, values
+
+
+def narrowed(df: DataFrame, column: str, names: list[str]) -> Column:
+    """The named scalars of a nested column alone, so that the scan reads no others: an array of structs, or a struct."""
+    data = df.select(column).schema[0].dataType
+    parts = [F.col(f"{column}.{n}").cast("array<string>" if isinstance(data, T.ArrayType) else "string").alias(n) for n in names]
     if isinstance(data, T.ArrayType):
-        return F.coalesce(F.transform(value, child), F.array().cast(_CHILDREN))
-    return F.array(child(value, F.lit(0)))
-
+        return F.arrays_zip(*parts)
+    return F.struct(*parts)
 
-_CHILDREN = "array<struct<kind:string,pos:int,child_key:string,fields:map<string,string>>>"
 
+def column_children(df: DataFrame, key: str, children: dict[str, tuple[str, str]], fields: dict[str, tuple[str, ...]] | None = None) -> DataFrame:
+    """(kind, parent_id, pos, child_key) of nested columns, and the named fields as columns of text, in one scan.
 
-def column_children(df: DataFrame, key: str, children: dict[str, tuple[str, str]], fields: tuple[str, ...] = ()) -> DataFrame:
-    """(kind, parent_id, pos, child_key, fields) of nested columns, in one scan that reads only the fields asked for.
-
-    ``children`` maps a kind to (column, name of the key field).  Null columns, elements and keys and empty keys give no row.
+    ``children`` maps a kind to (column, name of the key field); ``fields`` a kind to the scalars that its rows have
+    beside.  Null columns, elements and keys and empty keys give no row; a struct is one child at 0.
     """
-    parts = [column_array(df, kind, column, name, fields) for kind, (column, name) in children.items()]
-    everything = df.select(F.col(key).alias("parent_id"), F.explode(F.concat(*[p.cast(_CHILDREN) for p in parts])).alias("c"))
-    return everything.select("c.kind", "parent_id", "c.pos", "c.child_key", "c.fields").where("child_key <> ''")
+    fields = fields or {}
+    more = list(dict.fromkeys(f for kind in children for f in fields.get(kind, ())))
+    narrow = df.select(F.col(key).alias("parent_id"), *[narrowed(df, column, list(dict.fromkeys((name, *fields.get(kind, ()))))).alias(kind) for kind, (column, name) in children.items()])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for n, (kind, (_, name)) in enumerate(children.items(), 1):
+                # All scalars of the ancestor, each with the same rows and ordinals: side by side they are its table.
+                table, rows, ordinals = {}, np.empty(0, np.int64), ()
+                for path, rows, ordinals, values in column_triples(batch.column(n), (kind,), np.arange(batch.num_rows)):
+                    table[path[-1]] = values
+                there = np.flatnonzero(pc.fill_null(pc.not_equal(table[name], ""), False).to_numpy(zero_copy_only=False))
+                pos = ordinals[0][there] if ordinals else np.zeros(len(there), np.int64)
+                at = pa.array(there)
+                own = [table[f].take(at) if f in fields.get(kind, ()) else pa.nulls(len(there), pa.string()) for f in more]
+                yield pa.RecordBatch.from_arrays([pa.array([kind] * len(there), pa.string()), batch.column(0).take(pa.array(rows[there])), pa.array(pos, pa.int32()), table[name].take(at), *own], ["kind", "parent_id", "pos", "child_key", *(f"_{f}" for f in more)])
+
+    schema = [T.StructField("kind", T.StringType()), T.StructField("parent_id", df.schema[key].dataType), T.StructField("pos", T.IntegerType())]
+    flat = narrow.mapInArrow(run, T.StructType([*schema, T.StructField("child_key", T.StringType()), *(T.StructField(f"_{f}", T.StringType()) for f in more)]))
+    return flat.select("kind", "parent_id", "pos", "child_key", *[F.col(f"_{f}").alias(f) for f in more])
 
 
 #: What the review tables hold.
@@ -230,5 +259,4 @@ def review_child_table(events: DataFrame, requests: DataFrame, kind: str) -> Dat
     data = requests.select(column).schema[0].dataType
     element = data.elementType if isinstance(data, T.ArrayType) else data
     fields = tuple(f.name for f in element if not isinstance(f.dataType, (T.StructType, T.ArrayType, T.MapType)))
-    children = column_children(requests, "mr_row", {kind: (column, name)}, fields)
-    return children.select("parent_id", "pos", "child_key", *[F.col("fields")[f].alias(f) for f in fields])
+    return column_children(requests, "mr_row", {kind: (column, name)}, {kind: fields}).drop("kind")
