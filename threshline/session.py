@@ -16,10 +16,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder named by spark.checkpoint.dir; a local one is set only where none is configured (tests)."""
-    context = spark.sparkContext._jsc.sc()
-    current = context.getCheckpointDir()
-    if current.isDefined():
-        return current.get()
+    current = spark.sparkContext.getCheckpointDir()
+    if current:
+        return current
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
         if not spark.sparkContext.master.startswith("local["):
@@ -37,7 +36,12 @@ def checkpointed(df: DataFrame) -> DataFrame:
 
 def input_bytes(df: DataFrame, text: str) -> int:
     """Stored size of a table as the optimizer knows it, else the characters of its text; it plans tasks, decides no result."""
-    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    if size < 1 << 60:  # unknown sizes stand at the largest number
-        return size
+    plan = getattr(df, "_jdf", None)  # absent where the session is remote
+    if plan is not None and (size := int(str(plan.queryExecution().optimizedPlan().stats().sizeInBytes()))) < 1 << 60:
+        return size  # unknown sizes stand at the largest number
     return df.select(F.sum(F.length(text))).first()[0] or 0
+
+
+def cores(spark: SparkSession) -> int:
+    """Tasks that run at once, as far as the session tells; it plans tasks, decides no result."""
+    return max(1, spark.sparkContext.defaultParallelism)
