@@ -1,7 +1,8 @@
 """Fixed-capacity containers filled with texts that fit together, by lexical retrieval.
 
-Texts go to shards by a lexical route (their longest word), cut by range, so that related texts meet and a hot route
-spreads over many shards.  A shard holds an inverted index of BM25 weights over the tokens of its unused texts.  The
+Texts go to tasks by the hash of a lexical route (their longest word), so that related texts meet; a route that has more
+texts than half a task, as counted over all texts, is split.  Within a task texts are ordered by route and cut into shards.
+A shard holds an inverted index of BM25 weights over the tokens of its unused texts.  The
 largest unused text opens a container and queries the index with all its terms; unused neighbours fill the container in
 order of their score, and what room is left takes the largest texts that still fit.  Containers that stay below
 FULL_SHARE give their texts back to the next shard of the task; only a task's last shard keeps them.
@@ -27,15 +28,17 @@ from pyspark.sql import types as T
 
 from threshline.llm.batches import slices
 from threshline.llm.tokenizer import DEFAULT_VOCABULARY, encoder
-from threshline.session import input_bytes
+from threshline.session import checkpointed, cores, input_bytes
 
 CAPACITY = 2048
 #: Texts in the index of one shard; bounds memory and time.
 SHARD_TEXTS = 2048
 #: A container this full is kept before its task ends.
 FULL_SHARE = 0.995
-#: Bytes of stored text a task packs; fewer, larger tasks leave fewer last containers.
-TASK_BYTES = 8 << 20
+#: Bytes of stored text a task packs, at least and at most: few large tasks leave few last containers, and the number of
+#: tasks follows the cores in between, so that it stays far below what one shuffle can serve.
+TASK_BYTES, TASK_MOST = 8 << 20, 512 << 20
+TASKS_A_CORE = 4
 K1, B = 1.2, 0.75
 
 
@@ -129,15 +132,30 @@ def tighten(box: list[int], room: int, sizes: np.ndarray, free: list[tuple[int,
 def pack_texts(docs: DataFrame, key: str = "doc_id", text: str = "text", capacity: int = CAPACITY, vocabulary: str = DEFAULT_VOCABULARY, shard_texts: int = SHARD_TEXTS) -> DataFrame:
     """(container_id, key, first_token, n_tokens): what part of which text each container holds, first_token from 1.
 
-    One shuffle, of the texts by route; they are encoded behind it, so that tokens are never moved.
+    One shuffle, of the texts by route; they are encoded behind it, so that tokens are never moved.  When more than half of
+    a shard fits nowhere, its containers are closed as they are, so that memory stays bounded; ``fill_report`` counts them.
     """
     if capacity < 1:
         raise ValueError("the capacity must be positive")
-    source = docs.where(F.length(text) > 0).select(key, text)
-    tasks = max(1, math.ceil(input_bytes(docs, text) / TASK_BYTES))
+    spark, size = docs.sparkSession, input_bytes(docs, text)
+    tasks = max(1, math.ceil(size / TASK_MOST), min(math.ceil(size / TASK_BYTES), TASKS_A_CORE * cores(spark)))
     words = F.split(F.lower(text), r"[^\p{L}\p{N}_]+")
     route = F.array_max(F.transform(words, lambda w: F.struct(F.length(w).alias("size"), F.left(w, F.lit(64)).alias("word"))))
-    routed = source.select(key, text, route.alias("_route")).repartitionByRange(tasks, "_route", key).sortWithinPartitions("_route", key).select(key, text)
+    source = docs.where(F.length(text) > 0).select(key, text, route["word"].alias("_route"))
+    routed = source.select(key, text, "_route", F.lit(0).alias("_part"))
+    if tasks > 1:
+        # Written once, so that the route of each text is found once, for the counts and for the shuffle.
+        source = checkpointed(source)
+        counts = source.groupBy("_route").agg(F.count("*").alias("_n"))
+        share = max(1, source.count() // (2 * tasks))
+        # At most 2 * tasks routes have more texts than that.
+        heavy = counts.where(F.col("_n") > share).select("_route", F.ceil(F.col("_n") / share).cast("int").alias("_parts"))
+        part = F.when(F.col("_parts").isNull(), 0).otherwise(F.pmod(F.xxhash64(key, text), F.col("_parts")).cast("int"))
+        routed = source.join(F.broadcast(heavy), "_route", "left").select(key, text, "_route", part.alias("_part"))
+        routed = routed.repartition(tasks, "_route", "_part")
+    else:
+        routed = routed.coalesce(1)
+    routed = routed.sortWithinPartitions("_route", "_part", key).select(key, text)
     number = T.StructField(key, docs.schema[key].dataType)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -171,7 +189,7 @@ def pack_texts(docs: DataFrame, key: str = "doc_id", text: str = "text", capacit
             return batch
 
         kind = None
-        for batch, start, texts in ((b, *s) for b in batches for s in slices(b.column(1), 1_000_000)):
+        for batch, start, texts in ((b, *s) for b in batches for s in slices(b.column(1))):
             kind = batch.schema.field(0).type
             ids, offsets = enc.encode_batch(texts)
             for name, a, b in zip(batch.column(0).slice(start, len(texts)).to_pylist(), offsets[:-1].tolist(), offsets[1:].tolist()):
@@ -196,6 +214,6 @@ def pack_texts(docs: DataFrame, key: str = "doc_id", text: str = "text", capacit
 
 
 def fill_report(containers: DataFrame, capacity: int = CAPACITY) -> DataFrame:
-    """One row: containers, tokens, fill share in per cent, and the least containers that could hold as many tokens."""
+    """One row: containers, those below FULL_SHARE, tokens, fill share in per cent, and the least containers for as many tokens."""
     per = containers.groupBy("container_id").agg(F.sum("n_tokens").alias("n"))
-    return per.agg(F.count("*").alias("containers"), F.sum("n").alias("tokens"), F.round(100 * F.sum("n") / (F.count("*") * capacity), 2).alias("fill_percent"), F.ceil(F.sum("n") / capacity).alias("least_containers"))
+    return per.agg(F.count("*").alias("containers"), F.count_if(F.col("n") < FULL_SHARE * capacity).alias("underfilled"), F.sum("n").alias("tokens"), F.round(100 * F.sum("n") / (F.count("*") * capacity), 2).alias("fill_percent"), F.ceil(F.sum("n") / capacity).alias("least_containers"))
