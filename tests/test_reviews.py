@@ -7,9 +7,11 @@ from pyspark.sql import functions as F
 
 from threshline.functions import text as X
 from threshline.operators import reviews as R
-from threshline.operators.models import complete_rows
-from threshline.sources.events import GITHUB_SCHEMA, decoded, languages, templates
-from threshline.streaming.sinks import KeyedSink, comment_stream, start
+from threshline.operators.models import RoleSettings, StubClient, complete_rows, role_settings
+from threshline.plans.reviews import SETTINGS
+from threshline.session import remove
+from threshline.sources.events import GITHUB_SCHEMA, decoded, land, landing_stream, languages, note_events, settings, templates
+from threshline.streaming.sinks import HostSettings, KeyedSink, comment_stream, posted, start
 
 COMMANDS = {"/review": "", "/review /en": "en", "/REVIEW /EN": "EN", "/re/en": "", "/rev/en": "en", "/a/en": "", "/12/en": "en", "/xx /en": "xx", "　 /review /ja \nrest /en": "ja", "": "", None: ""}
 
@@ -44,27 +46,80 @@ def test_templates(spark, tmp_path):
 def test_lookup_and_prompt(spark):
     files = spark.createDataFrame([(1, 0, 1, "a.cs", "first"), (1, 1, 2, "a.cs", "second"), (1, 2, 3, "b.py", "third")], "review_id LONG, ord INT, diff_id LONG, path STRING, diff STRING")
     plan = spark.createDataFrame([(1, 0, 0, "b.py"), (1, 0, 1, "a.cs"), (1, 0, 2, "invented"), (1, 1, 0, "a.cs"), (1, 1, 1, "a.cs")], "review_id LONG, assign_no INT, pos INT, path STRING")
-    got = {r.assign_no: r.prompt for r in R.prompts(R.looked_up(plan, files), "T").collect()}
-    assert got == {0: "T\n\n# b.py\nthird\n# a.cs\nfirst\n", 1: "T\n\n# a.cs\nfirst\n# a.cs\nfirst\n"}
+    found = R.template_table(spark, {"review": {"en": "T", "ja": "U"}, "organize": {"en": "O"}})
+    wanted = spark.createDataFrame([(1, "en"), (1, "ja"), (1, "xx"), (2, "en")], "review_id LONG, lang STRING")
+    got = {(r.lang, r.assign_no): r.prompt for r in R.prompts(R.looked_up(plan, files), wanted, found).collect()}
+    bodies = {0: "\n\n# b.py\nthird\n# a.cs\nfirst\n", 1: "\n\n# a.cs\nfirst\n# a.cs\nfirst\n"}
+    assert got == {(lang, k): None if lang == "xx" else t + b for lang, t in (("en", "T"), ("ja", "U"), ("xx", "")) for k, b in bodies.items()}
+
+
+def test_languages_need_both_templates(spark):
+    found = R.template_table(spark, {"review": {"en": "T", "ja": "U", "fr": "V"}, "organize": {"en": "O", "ja": "P"}})
+    rows = spark.createDataFrame([(k, x) for k, x in enumerate(["en", "ja", "fr", "EN", "", None])], "k INT, lang STRING")
+    assert [r.lang for r in R.chosen_language(rows, "lang", found, "en").orderBy("k").collect()] == ["en", "ja", "en", "en", "en", "en"]
+
+
+def test_settings_of_roles_and_hosts(tmp_path):
+    assert role_settings(SETTINGS)["executor"] == RoleSettings("stub", "You review changes.", temperature=0.2, effort=3, output=1, timeout_s=1200)
+    assert RoleSettings("m", effort=-1, output=7) == RoleSettings("m", effort=0, output=2)
+    assert "hidden" not in repr(HostSettings("gitlab", "https://h.example", "hidden"))
+    (tmp_path / "s.toml").write_text("[a]\nb = 1")
+    assert settings(str(tmp_path / "s.toml")) == {"a": {"b": 1}}
+
+
+def test_files_of_a_pull_request(spark):
+    rows = [(1, 0, 1, "a.cs", None, "p", "added"), (1, 1, 2, "b.cs", "o.cs", "q", "renamed"), (1, 2, 3, "c.md", None, "r", "modified"), (1, 3, 4, "d.cs", None, None, "modified")]
+    df = R.pull_request_files(spark.createDataFrame(rows, "merge_request_id LONG, ord INT, diff_id LONG, filename STRING, previous_filename STRING, patch STRING, status STRING"))
+    assert [(r.path, r.diff) for r in R.changed_files(df, ["cs"]).orderBy("ord").collect()] == [("a.cs", "p"), ("b.cs", "q")] and [r.renamed_file for r in df.orderBy("ord").collect()] == [False, True, False, False]
+
+
+class Host:
+    def overwrite(self, key, body):
+        if body == "bad":
+            raise ValueError(key)
+
+
+def test_posting_errors_stay_in_their_row(spark):
+    df = spark.createDataFrame([("gitlab", 1, "x"), ("gitlab", 2, "bad")], "provider STRING, note LONG, body STRING")
+    assert sorted((r.note, r.error) for r in posted(df, ("provider", "note"), "body", Host).collect()) == [(1, None), (2, "('gitlab', 2)")]
+
+
+def test_note_events_land_and_late_ones_change_nothing(spark, tmp_path):
+    event = lambda k, i, note: (k, json.dumps({"object_kind": "note", "object_attributes": {"id": i, "note": note, "noteable_type": "MergeRequest"}, "project": {"id": 5}, "merge_request": {"id": 9, "iid": 2}}))
+    sink = KeyedSink(str(tmp_path / "out"), ("project_id", "iid", "id"), "delivery_id")
+    for batch in ([event(3, 1, "new"), event(4, 2, "b"), (7, "{"), (8, None)], [event(1, 1, "old"), event(5, 2, "c")], [event(5, 2, "c")]):
+        land(spark.createDataFrame(batch, "event_row LONG, payload STRING"), str(tmp_path / "in"))
+        stream = landing_stream(spark, str(tmp_path / "in"), "event_row LONG, payload STRING")
+        start(note_events(stream), sink, str(tmp_path / "state")).awaitTermination()
+    got = sorted(((r.project_id, r.iid, r.id), r.note, r.noteable_id) for r in sink.read(spark).collect())
+    assert got == [((5, 2, 1), "new", "9"), ((5, 2, 2), "c", "9")]
+    remove(spark, str(tmp_path / "out"))
+    assert not (tmp_path / "out").exists()
 
 
 class Broken:
-    def complete(self, role, prompt):
+    def complete(self, role, prompt, schema=None):
         if "bad" in prompt:
             raise RuntimeError(prompt)
         return prompt.upper()
 
 
 def test_rows_fail_alone_and_reduce(spark):
-    df = spark.createDataFrame([(1, 0, "a"), (1, 1, "b"), (2, 0, "c"), (3, 0, "bad"), (4, 0, None)], "review_id LONG, assign_no INT, p STRING")
-    replies = complete_rows(df, "executor", "p", "review", Broken)
-    assert sorted((r.review_id, r.assign_no, r.review) for r in replies.collect()) == [(1, 0, "A"), (1, 1, "B"), (2, 0, "C"), (3, 0, ""), (4, 0, "")]
-    assert sorted(tuple(r) for r in R.reduced(replies, "t", Broken).collect()) == [(1, 2, "T\n\nA\n\nB\n\n"), (2, 1, "C")]
+    df = spark.createDataFrame([(1, "en", 0, "a"), (1, "en", 1, "b"), (1, "xx", 0, "a"), (1, "xx", 1, "b"), (2, "en", 0, "c"), (3, "en", 0, "bad"), (4, "en", 0, None)], "review_id LONG, lang STRING, assign_no INT, p STRING")
+    replies = complete_rows(df, ("review_id", "lang", "assign_no"), "executor", "p", "review", Broken, parallel=3)
+    assert sorted((r.review_id, r.lang, r.assign_no, r.review) for r in replies.collect()) == [(1, "en", 0, "A"), (1, "en", 1, "B"), (1, "xx", 0, "A"), (1, "xx", 1, "B"), (2, "en", 0, "C"), (3, "en", 0, ""), (4, "en", 0, "")]
+    found = R.template_table(spark, {"organize": {"en": "t"}})
+    assert sorted(tuple(r) for r in R.reduced(replies, found, "default:", Broken).collect()) == [(1, "en", 2, "T\n\nA\n\nB\n\n"), (1, "xx", 2, "DEFAULT:\nA\n\nB\n\n"), (2, "en", 1, "C")]
 
 
 def test_planner_reply_that_does_not_parse(spark):
     changes = spark.createDataFrame([(1, "x")], "review_id LONG, changes STRING")
-    assert R.assignments(changes, Broken).collect() == []
+    assert R.assignments(changes, "plan", Broken).collect() == []
+
+
+def test_typed_call_has_the_schema_and_the_fenced_json():
+    reply = StubClient().complete("planner", 'p\n```json\n{"changes":[{"path":"b.py"},{"path":"a.cs"},{"path":"c.py"}]}\n```', R.PLAN_JSON_SCHEMA)
+    assert [a["paths"] for a in json.loads(reply)["assigns"]] == [["a.cs"], ["b.py", "c.py"]] and json.loads(R.PLAN_JSON_SCHEMA)["required"] == ["assigns"]
 
 
 def test_stream_equals_batch_and_replay(spark, tmp_path):

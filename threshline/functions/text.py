@@ -44,7 +44,3 @@ def chosen_path(new_path: Column, old_path: Column) -> Column:
 def preview(text: Column, most: int = 128) -> Column:
     """The first line, at most so many characters; lines are not trimmed."""
     return F.substring(F.regexp_extract(text, r"\A[^\r\n]*", 0), 1, most)
-
-
-def clamped(value: Column, low: int, high: int) -> Column:
-    return F.least(F.greatest(value, F.lit(low)), F.lit(high))

@@ -238,6 +238,9 @@ def column_children(df: DataFrame, key: str, children: dict[str, tuple[str, str]
 
 #: What the review tables hold.
 EVENT_CHILDREN = {"user": (("issue", "user"), "login", False), "assignee": (("issue", "assignees"), "login", False), "gh_label": (("issue", "labels"), "name", True)}
+#: The fields of the children of raw events that their tables have as columns; ``json_children`` has all others, too.
+_USER = ("id", "node_id", "avatar_url", "url", "type", "site_admin")
+EVENT_FIELDS = {"user": _USER, "assignee": _USER, "gh_label": ("id", "color", "default", "description")}
 REQUEST_CHILDREN = {"label": ("labels", "id"), "commit": ("last_commit", "id"), "commit_author": ("last_commit.author", "email")}
 
 
@@ -248,13 +251,15 @@ def review_children(events: DataFrame, requests: DataFrame) -> DataFrame:
 
 
 def review_child_table(events: DataFrame, requests: DataFrame, kind: str) -> DataFrame:
-    """The children of one kind with all their scalar fields: (parent_id, pos, child_key) and the fields.
+    """The children of one kind as a table: (parent_id, pos, child_key) and a column of text for each scalar field.
 
-    Children of raw events have them in the map ``fields``, as their keys follow from the texts.  Nested columns give a
-    column of text for each; nested structs are children of their own kinds.
+    Nested columns have their fields in the schema.  Raw events have those of EVENT_FIELDS; nested structs are children of
+    their own kinds.
     """
     if kind in EVENT_CHILDREN:
-        return json_children(events, "event_row", "payload", {kind: EVENT_CHILDREN[kind]}, None).select("parent_id", "pos", "child_key", "fields")
+        fields = EVENT_FIELDS[kind]
+        children = json_children(events, "event_row", "payload", {kind: EVENT_CHILDREN[kind]}, fields)
+        return children.select("parent_id", "pos", "child_key", *[F.col("fields")[f].alias(f) for f in fields])
     column, name = REQUEST_CHILDREN[kind]
     data = requests.select(column).schema[0].dataType
     element = data.elementType if isinstance(data, T.ArrayType) else data

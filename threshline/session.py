@@ -45,3 +45,26 @@ def input_bytes(df: DataFrame, text: str) -> int:
 def cores(spark: SparkSession) -> int:
     """Tasks that run at once, as far as the session tells; it plans tasks, decides no result."""
     return max(1, spark.sparkContext.defaultParallelism)
+
+
+def _path(spark: SparkSession, path: str):
+    """(file system, path) of Hadoop, so that shared folders of any kind can be reached from the driver."""
+    jvm = spark.sparkContext._jvm
+    at = jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), at
+
+
+def write_text(spark: SparkSession, path: str, text: str) -> None:
+    """One small file, written by the driver."""
+    files, at = _path(spark, path)
+    out = files.create(at, True)
+    try:
+        out.write(bytearray(text.encode("utf-8")))
+    finally:
+        out.close()
+
+
+def remove(spark: SparkSession, folder: str) -> None:
+    """Removes a folder this library made for intermediate data."""
+    files, at = _path(spark, folder)
+    files.delete(at, True)

@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 
 #: Only what is read; numbers are taken as text and cast, so that one odd field does not lose the record.
 GITHUB_SCHEMA = "action STRING, issue STRUCT<number: STRING, pull_request: STRUCT<url: STRING>, user: STRING, labels: STRING>, comment STRUCT<id: STRING, body: STRING>, repository STRUCT<id: STRING>"
-GITLAB_SCHEMA = "object_attributes STRUCT<id: STRING, note: STRING, noteable_type: STRING>, project STRUCT<id: STRING>, merge_request STRUCT<iid: STRING>"
+GITLAB_SCHEMA = "object_kind STRING, object_attributes STRUCT<id: STRING, note: STRING, noteable_type: STRING, noteable_id: STRING>, project STRUCT<id: STRING>, merge_request STRUCT<id: STRING, iid: STRING>"
 
 
 def decoded(df: DataFrame, raw: str, schema: str, corrupt: str = "_corrupt") -> DataFrame:
@@ -25,6 +25,23 @@ def decoded(df: DataFrame, raw: str, schema: str, corrupt: str = "_corrupt") ->
     return parsed.withColumn("event", F.when(good, F.col("_event"))).drop("_event")
 
 
+def land(events: DataFrame, folder: str) -> None:
+    """Appends raw events (event_row, payload) to a landing folder, as JSON lines; what is there stays."""
+    events.write.mode("append").json(folder)
+
+
+def note_events(raw: DataFrame) -> DataFrame:
+    """Notes of raw events of the kind that names its object (event_row, payload), one row an event that decodes.
+
+    (delivery_id, id, note, noteable_type, noteable_id, project_id, iid); the event's row stands for its delivery.
+    """
+    rows = decoded(raw, "payload", GITLAB_SCHEMA).where("event IS NOT NULL")
+    a = "event.object_attributes"
+    number = lambda path, name: F.col(path).try_cast("bigint").alias(name)
+    noteable = F.coalesce(F.col("event.merge_request.id"), F.col(f"{a}.noteable_id")).alias("noteable_id")
+    return rows.select(F.col("event_row").alias("delivery_id"), number(f"{a}.id", "id"), f"{a}.note", f"{a}.noteable_type", noteable, number("event.project.id", "project_id"), number("event.merge_request.iid", "iid"))
+
+
 def landing_stream(spark: SparkSession, folder: str, schema: str | T.StructType, files_per_trigger: int = 1000) -> DataFrame:
     """JSON lines that land in a folder, as a stream; the schema is given, never inferred."""
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).json(folder)
