@@ -67,13 +67,13 @@ def test_table(spark):
 @pytest.mark.parametrize("text,value", [
     ('password        = "Hunter22x!"', "Hunter22x!"), ("db_password:      Hunter22x!", "Hunter22x!"), ('password = "Hunter 22x !"', "Hunter 22x !"), ('password = "Пароль2024!"', "Пароль2024!"), ('pwd = "a1!"', "a1!"), ('api_secret = "deadbeefcafebabedeadbeef"', "deadbeefcafebabedeadbeef"),
     ('passphrase: "orbit-candle-meadow-violin"', "orbit-candle-meadow-violin"), ('"Authorization"    :     "Bearer   abcdEFGH1234.xyz"', "abcdEFGH1234.xyz"), ('k = "abc_live_Zx8kQ2mN4pR6tV8wY0aB"', "abc_live_Zx8kQ2mN4pR6tV8wY0aB"),
-    ("SG." + "a1B" * 7 + "c." + "d2E" * 14 + "f", "SG." + "a1B" * 7 + "c." + "d2E" * 14 + "f"),
+    ("+db1.h.example:5432:app:svc_ro:vJphQxtE6CjmyPJ\n+next", "vJphQxtE6CjmyPJ"), (" *:6543:*:me:pa\\:Ss9x\r\n", "pa\\:Ss9x"), ("SG." + "a1B" * 7 + "c." + "d2E" * 14 + "f", "SG." + "a1B" * 7 + "c." + "d2E" * 14 + "f"),
 ])
 def test_no_caps_on_blanks_length_or_alphabet(text, value):
     assert [text[s:e] for s, e in spans(text)] == [value]
 
 
-@pytest.mark.parametrize("text", ['password = "must have 8 characters"', 'password = "パスワードは8文字"', 'password = "8"', 'pk = "pk_live_Zx8kQ2mN4pR6tV8wY0aB"', 'password        = "${DB_PASSWORD}"', 'label_password = "enter the word twice"'])
+@pytest.mark.parametrize("text", ['password = "must have 8 characters"', 'password = "パスワードは8文字"', 'password = "8"', 'pk = "pk_live_Zx8kQ2mN4pR6tV8wY0aB"', 'password        = "${DB_PASSWORD}"', 'label_password = "enter the word twice"', "at 10:22:33:44:zone:ab12cd34", "+h:5432:db:user:${DB_PASSWORD}", "x = h:5432:db:user:Ab12cd34Ef"])
 def test_sentences_and_published_keys_are_clean(text):
     assert spans(text) == []
 

@@ -64,8 +64,11 @@ GRAMMARS = {
     "header": r"""(\\?["'`])?\s*[:=,]\s*(\\?["'`])?(([bB][eE][aA][rR][eE][rR]|[bB][aA][sS][iI][cC]|[tT][oO][kK][eE][nN])\s+)?""",
     "bare": r"""[^\s"'`,;<>|(){}\[\]][^\s"'`;<>|]*""",
     "pair": r"""\{?[^;"'`\s]+""",
+    # A line of a password file of a database: host, then port, database and user, then the password.
+    "ported": r":[0-9]{2,5}:[\w*.\-]+:[\w*.@\-]+:",
     "word": r"""[^\s"'`,;<>|\\]+""",
 }
+PORTED_HOST, PORTED_VALUE = re.compile(r"[+\- ]?\s*[\w.*-]+"), re.compile(r"((?:\\.|[^\s\\:\"'`])+)[ \t]*\r?(?=\n|\Z)")
 HOST = re.compile(r"[\w\[.-]")
 #: Words that name a secret when a setting name ends in them, alone or as the last part of a name.
 NAMES = (
@@ -124,6 +127,8 @@ def _words() -> ahocorasick.Automaton:
         kinds.setdefault(stage, set()).add(("staged", ""))
     kinds["-----begin "] = {("armor", "")}
     kinds["://"] = {("address", "")}
+    for digit in "123456789":
+        kinds[f":{digit}"] = {("ported", "")}
     for kind, names in (
         ("name", NAMES), ("header", ("authorization", "private-token", "job-token", "deploy-token", "x-api-key", "x-auth-token", "_authtoken")), ("scheme", ("bearer ", "basic ")),
         ("login", LOGIN_WORDS), ("option", OPTION_WORDS), ("told", TELLING),
@@ -340,6 +345,14 @@ def _named(r: Reader, start: int, end: int) -> tuple[int, int] | None:
     return span
 
 
+def _ported(r: Reader, start: int) -> tuple[int, int] | None:
+    at = r.match(start, "ported")
+    if at < 0 or not PORTED_HOST.fullmatch(r.text, max(r.line(start), start - 260), start):
+        return None
+    m = PORTED_VALUE.match(r.text, at)
+    return m.span(1) if m and plausible(r.judged(*m.span(1)), True) else None
+
+
 def _header(r: Reader, end: int) -> tuple[int, int] | None:
     at = r.match(end, "header")
     last = r.match(at, "word") if at > 0 else -1
@@ -367,6 +380,8 @@ def spans(text: str | None) -> list[tuple[int, int]]:
                 span = (start, last) if (last := r.once(start, "armor", True)) > 0 else None
             elif kind == "address":
                 span = _address(r, start)
+            elif kind == "ported":
+                span = _ported(r, start)
             elif kind == "name":
                 span = _named(r, start, end)
             elif kind == "header":

@@ -13,6 +13,7 @@ surrogates cannot occur in Spark strings.  Every row gives exactly one row, repe
 from __future__ import annotations
 
 import base64
+import hashlib
 import os
 import re
 from collections.abc import Iterator
@@ -231,3 +232,18 @@ def encode_corpus(docs: DataFrame, key: str = "doc_id", text: str = "text", voca
 
     schema = T.StructType([docs.schema[key], T.StructField("ids", T.ArrayType(T.IntegerType()))])
     return docs.select(key, text).mapInArrow(run, schema)
+
+
+def decoded_digest(encoded: DataFrame, key: str = "doc_id", ids: str = "ids", vocabulary: str = DEFAULT_VOCABULARY) -> DataFrame:
+    """(key, text_md5): the MD5 of the bytes that the ids stand for, that is, of the text they were made from."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        with open(vocabulary, "rb") as lines:
+            words = {int(b): base64.b64decode(a) for a, b in map(bytes.split, lines)}
+        for batch in batches:
+            offsets, flat = batch.column(1).offsets.to_numpy(), batch.column(1).values.to_numpy()
+            digests = [hashlib.md5(b"".join(map(words.__getitem__, flat[a:b].tolist()))).hexdigest() for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist())]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(digests, pa.string())], [key, "text_md5"])
+
+    schema = T.StructType([encoded.schema[key], T.StructField("text_md5", T.StringType())])
+    return encoded.select(key, ids).mapInArrow(run, schema)
