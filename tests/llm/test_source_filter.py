@@ -1,6 +1,6 @@
 import pytest
 
-from threshline.llm.source_filter import by_machine, conventional, declared, machine_made, parse_attributes
+from threshline.llm.source_filter import by_machine, conventional, declared, machine_made, machine_made_rows, parse_attributes
 
 CODE = "@@ -0,0 +1,3 @@\n+def total(rows):\n+    return sum(rows)\n+\n"
 MADE = [
@@ -89,4 +89,5 @@ def test_mined_patterns_apply_to_the_rest(spark, monkeypatch, most):
     rows += [(300, "n.go", "+// Kept in step with the schema of its service, 77\n" + CODE, 8, "1"), (301, "n.go", "+// Kept in mind\n" + CODE, 8, "1")]
     rows += [(400, ".gitattributes", "+packed/** -linguist-generated\n+lib/packed/** -linguist-generated", 10, "1"), (401, "lib/packed/small.js", CODE, 10, "1")]
     got = {r.diff_id for r in machine_made(spark.createDataFrame(rows, schema)).where("by_machine").collect()}
+    assert sorted(got) == sorted(r.diff_id for r in machine_made_rows(spark.createDataFrame(rows, schema)).collect())
     assert got == {*range(20), *range(200, 212), 100, 300}

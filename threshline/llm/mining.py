@@ -75,10 +75,10 @@ def mined(files: DataFrame, files_needed: int = FILES, projects_needed: int = PR
 
 
 def with_mined(files: DataFrame, row: str, found: DataFrame) -> DataFrame:
-    """(row): files not shown yet and not declared that a mined pattern speaks for."""
-    wanted = files.where("NOT shown AND NOT declared").select(row, F.explode("patterns").alias("pattern"))
+    """(row, diff_id): files not shown yet and not declared that a mined pattern speaks for."""
+    wanted = files.where("NOT shown AND NOT declared").select(row, "diff_id", F.explode("patterns").alias("pattern"))
     if found.limit(MOST_BROADCAST + 1).count() <= MOST_BROADCAST:
         hit = wanted.join(F.broadcast(found.select("pattern")), "pattern")
     else:
         hit = join_by_frequency(wanted, found, "pattern", "n", F.col(row))
-    return hit.select(row).distinct()
+    return hit.select(row, "diff_id").distinct()

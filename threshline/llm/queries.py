@@ -10,14 +10,14 @@ from pyspark.sql import functions as F
 from threshline.llm.packing import CAPACITY, pack_texts
 from threshline.llm.secrets import scan_secrets, secret_places
 from threshline.llm.shared_spans import members, passages, shared_spans
-from threshline.llm.source_filter import machine_made
+from threshline.llm.source_filter import machine_made_rows
 from threshline.llm.splitter import LIMIT, OVERLAP, oversized_report, split_oversized
 from threshline.llm.tokenizer import decoded_digest, encode_corpus
 from threshline.session import checkpointed, table
 
 
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return machine_made(table(spark, sf_dir, "st_diff")).where("by_machine").select("diff_id")
+    return machine_made_rows(table(spark, sf_dir, "st_diff"))
 
 
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:

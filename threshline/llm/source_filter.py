@@ -266,7 +266,21 @@ def attribute_files(df: DataFrame) -> DataFrame:
 
 
 def machine_made(df: DataFrame) -> DataFrame:
-    """(diff_id, by_machine) of every row of st_diff: one pass over the texts, then joins of the patterns' codes.
+    """(diff_id, by_machine) of every row of st_diff: one pass over the texts, then joins of the patterns' codes."""
+    files = judged_files(df)
+    more = with_mined(files, "_row", checkpointed(mined(files))).select("_row", F.lit(True).alias("_mined"))
+    return files.select("_row", "diff_id", "shown").join(more, "_row", "left").select("diff_id", (F.col("shown") | F.coalesce("_mined", F.lit(False))).alias("by_machine"))
+
+
+def machine_made_rows(df: DataFrame) -> DataFrame:
+    """(diff_id) of the rows that ``machine_made`` marks: those shown at once and those a pattern speaks for, without a join of all."""
+    files = judged_files(df)
+    more = with_mined(files, "_row", checkpointed(mined(files)))
+    return files.where("shown").select("diff_id").unionByName(more.select("diff_id"))
+
+
+def judged_files(df: DataFrame) -> DataFrame:
+    """(_row, diff_id, project, shown, declared, patterns) of every row, written once.
 
     The attribute files are written once and measured.  Up to MOST_BROADCAST characters they are broadcast; beyond that
     they meet the rows by project through a shuffle in which large projects are split.
@@ -303,6 +317,4 @@ def machine_made(df: DataFrame) -> DataFrame:
     names = ["_row", "diff_id", "project", "shown", "declared", "patterns"]
     kinds = (T.LongType(), df.schema["diff_id"].dataType, df.schema["project_id"].dataType, T.BooleanType(), T.BooleanType(), T.ArrayType(T.LongType()))
     # Written once: the patterns are counted over all files and then looked up, and neither reads a diff again.
-    files = checkpointed(rows.mapInArrow(run, T.StructType([T.StructField(c, k) for c, k in zip(names, kinds)])))
-    more = with_mined(files, "_row", checkpointed(mined(files))).withColumn("_mined", F.lit(True))
-    return files.select("_row", "diff_id", "shown").join(more, "_row", "left").select("diff_id", (F.col("shown") | F.coalesce("_mined", F.lit(False))).alias("by_machine"))
+    return checkpointed(rows.mapInArrow(run, T.StructType([T.StructField(c, k) for c, k in zip(names, kinds)])))
