@@ -64,14 +64,15 @@ def patterns(path: str | None, sides: tuple[list[str], ...]) -> list[int]:
     return sorted(out)
 
 
-def mined(files: DataFrame, files_needed: int = FILES, projects_needed: int = PROJECTS, share: float = SHARE) -> DataFrame:
-    """(pattern, n) of those that hold; only patterns with files that aren't shown yet are kept, as others change nothing.
+def mined(files: DataFrame, files_needed: int = FILES, projects_needed: int = PROJECTS, share: float = SHARE, every: bool = False) -> DataFrame:
+    """(pattern, n) of those that hold; unless ``every``, only those with files that aren't shown yet, as others change nothing.
 
     ``files``: (patterns, shown, project).  One aggregate with map-side combine; projects are counted in a bit set.
     """
     seen = files.select(F.explode("patterns").alias("pattern"), F.col("shown").cast("int").alias("shown"), F.expr("shiftleft(1L, CAST(pmod(xxhash64(project), 64) AS INT))").alias("bit"))
     per = seen.groupBy("pattern").agg(F.count("*").alias("n"), F.sum("shown").alias("shown"), F.bit_or("bit").alias("bits"))
-    return per.where((F.col("n") >= files_needed) & (F.col("shown") < F.col("n")) & (F.col("shown") >= share * F.col("n")) & (F.bit_count("bits") >= projects_needed)).select("pattern", "n")
+    adding = F.lit(True) if every else F.col("shown") < F.col("n")
+    return per.where((F.col("n") >= files_needed) & adding & (F.col("shown") >= share * F.col("n")) & (F.bit_count("bits") >= projects_needed)).select("pattern", "n")
 
 
 def with_mined(files: DataFrame, row: str, found: DataFrame) -> DataFrame:
@@ -82,3 +83,17 @@ def with_mined(files: DataFrame, row: str, found: DataFrame) -> DataFrame:
     else:
         hit = join_by_frequency(wanted, found, "pattern", "n", F.col(row))
     return hit.select(row, "diff_id").distinct()
+
+
+def held_out(files: DataFrame) -> DataFrame:
+    """One row that measures mining: patterns are mined in half of the projects and tried on the files of the other half.
+
+    (n_shown, n_found, n_other, n_wrong): files shown to be machine-made and how many of them the patterns alone find, files
+    not shown and how many of those the patterns find.
+    """
+    half = F.pmod(F.xxhash64("project", F.lit(1)), F.lit(2)) == 0
+    learned = mined(files.where(half), every=True).select("pattern")
+    tried = files.where(~half & ~F.col("declared"))
+    hit = tried.select("_row", F.explode("patterns").alias("pattern")).join(learned, "pattern").select("_row", F.lit(True).alias("hit")).distinct()
+    both = tried.join(hit, "_row", "left").select("shown", F.coalesce("hit", F.lit(False)).alias("hit"))
+    return both.agg(*[F.count_if(c).alias(n) for n, c in (("n_shown", F.col("shown")), ("n_found", F.col("shown") & F.col("hit")), ("n_other", ~F.col("shown")), ("n_wrong", ~F.col("shown") & F.col("hit")))])
