@@ -1,6 +1,7 @@
 import pytest
 
-from threshline.llm.source_filter import by_machine, conventional, declared, machine_made, machine_made_rows, parse_attributes
+from threshline.llm.mining import held_out
+from threshline.llm.source_filter import by_machine, conventional, declared, judged_files, machine_made, machine_made_rows, parse_attributes
 
 CODE = "@@ -0,0 +1,3 @@\n+def total(rows):\n+    return sum(rows)\n+\n"
 MADE = [
@@ -91,3 +92,10 @@ def test_mined_patterns_apply_to_the_rest(spark, monkeypatch, most):
     got = {r.diff_id for r in machine_made(spark.createDataFrame(rows, schema)).where("by_machine").collect()}
     assert sorted(got) == sorted(r.diff_id for r in machine_made_rows(spark.createDataFrame(rows, schema)).collect())
     assert got == {*range(20), *range(200, 212), 100, 300}
+
+
+def test_mining_on_held_out_projects(spark):
+    minified = "+" + "function a(b,c){return b.d(c,1)}for(var e=0;e<9;e++)f[e]&&f[e].g();" * 8
+    rows = [(k, f"assets{k}/packed/p{k}.js", minified, k, "1") for k in range(60)] + [(100 + k, f"src{k}/a{k}.js", CODE, k, "1") for k in range(60)]
+    measured = held_out(judged_files(spark.createDataFrame(rows, "diff_id LONG, new_path STRING, diff STRING, project_id INT, received_at STRING"))).first()
+    assert measured.n_found == measured.n_shown > 15 and measured.n_other > 15 and measured.n_wrong == 0
