@@ -30,7 +30,7 @@ def test_hot_group_ties_and_nulls(spark, part):
     assert sorted(dropped + kept) == [r[0] for r in rows]
 
 
-@pytest.mark.parametrize("cut", [0, 1, 250, 600])
+@pytest.mark.parametrize("cut", [0, 250])
 def test_stored_and_new(spark, cut):
     rnd = random.Random(2)
     rows = [(k, rnd.choice([7] * 9 + list(range(60)) + [None]), rnd.choice([None, "2024-01-01T00:00:00Z", "2024-01-01T09:00:00+09:00", "2024-02-01T00:00:00Z"]), "x", None) for k in range(600)]

@@ -10,7 +10,7 @@ from threshline.operators import reviews as R
 from threshline.operators.models import RoleSettings, StubClient, complete_rows, role_settings
 from threshline.plans.reviews import SETTINGS
 from threshline.session import remove
-from threshline.sources.events import GITHUB_SCHEMA, decoded, land, landing_stream, languages, note_events, settings, templates
+from threshline.sources.events import GITHUB_SCHEMA, decoded, land, landing_stream, languages, note_events, settings, templates, whole_events
 from threshline.streaming.sinks import HostSettings, KeyedSink, comment_stream, posted, start
 
 COMMANDS = {"/review": "", "/review /en": "en", "/REVIEW /EN": "EN", "/re/en": "", "/rev/en": "en", "/a/en": "", "/12/en": "en", "/xx /en": "xx", "　 /review /ja \nrest /en": "ja", "": "", None: ""}
@@ -36,6 +36,12 @@ def test_decode(spark):
     assert [tuple(r) for r in got] == [(1, "12345678901", True), (2, None, False), (3, None, False), (4, None, False), (5, "7", True), (6, None, False)]
 
 
+def test_whole_events(spark):
+    rows = [(1, '{"a":{"b":[1,{"c":"x"}]},"long":123456789012}'), (2, '{"a":'), (3, "[1]"), (4, None), (5, '"x"'), (6, "{}")]
+    got = whole_events(spark.createDataFrame(rows, "k INT, p STRING"), "p").select("k", F.col("event").isNotNull(), F.try_variant_get("event", "$.a.b[1].c", "string"), F.try_variant_get("event", "$.long", "long")).orderBy("k")
+    assert [tuple(r) for r in got.collect()] == [(1, True, "x", 123456789012), *((k, k == 6, None, None) for k in range(2, 7))]
+
+
 def test_templates(spark, tmp_path):
     for name in ("review.en.md", "organize.en.md", "review.ja.md", "notes.md"):
         (tmp_path / name).write_text(name)

@@ -13,7 +13,7 @@ from threshline.functions import text as X
 from threshline.operators import reviews as R
 from threshline.operators.models import complete_rows
 from threshline.session import checkpoint_dir, checkpointed, remove, table, write_text
-from threshline.sources.events import GITHUB_SCHEMA, decoded, land, landing_stream, languages, note_events, settings, templates
+from threshline.sources.events import GITHUB_SCHEMA, decoded, land, landing_stream, languages, note_events, settings, templates, whole_events
 from threshline.streaming.sinks import KeyedSink, comment_stream, start
 
 SETTINGS = settings(str(Path(__file__).with_name("reviews.toml")))
@@ -74,6 +74,19 @@ def event_decode(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("event_row", F.col("event").isNotNull().alias("valid"), F.col("event.action").alias("action"), F.col("event.comment.id").try_cast("bigint").alias("comment_id"), F.col("event.repository.id").try_cast("bigint").alias("repo_id"))
 
 
+#: Fields of an event by name, each a path of the payload.
+DETAILS = {
+    "sender": "$.sender.login", "repository": "$.repository.full_name", "owner": "$.repository.owner.login", "title": "$.issue.title", "number": "$.issue.number", "issue_author": "$.issue.user.login",
+    "comment_author": "$.comment.user.login", "comment_created": "$.comment.created_at", "comment_url": "$.comment.url", "association": "$.comment.author_association", "private": "$.repository.private",
+}
+
+
+def event_details(spark: SparkSession, d: str) -> DataFrame:
+    """(event_row and DETAILS as text) of every event that is one JSON object."""
+    rows = whole_events(table(spark, d, "github_event"), "payload").where("event IS NOT NULL")
+    return rows.select("event_row", *[F.try_variant_get("event", path, "string").alias(name) for name, path in DETAILS.items()])
+
+
 def pr_number(spark: SparkSession, d: str) -> DataFrame:
     rows = decoded(table(spark, d, "github_event"), "payload", GITHUB_SCHEMA)
     return rows.where("event.issue.pull_request.url IS NOT NULL").select("event_row", X.number_of_request(F.col("event.issue.pull_request.url")).alias("number"))
@@ -199,7 +212,7 @@ def stream_comments(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    every = (first_lines, trigger_filter, find_language, template_languages, language_fallback, review_requests, log_preview, event_decode, pr_number, file_extension, path_choice, extension_filter, empty_review_guard, summaries, changes_json, planner_prompt, plan_explode, path_lookup, review_prompt, reduce_reviews, project_counts, stream_comments, stream_reviews)
+    every = (first_lines, trigger_filter, find_language, template_languages, language_fallback, review_requests, log_preview, event_decode, event_details, pr_number, file_extension, path_choice, extension_filter, empty_review_guard, summaries, changes_json, planner_prompt, plan_explode, path_lookup, review_prompt, reduce_reviews, project_counts, stream_comments, stream_reviews)
     return {f.__name__: f for f in every}
 
 
@@ -244,6 +257,7 @@ def oracle_sql() -> dict[str, str]:
         "review_requests": f"WITH {_REQUESTS} SELECT * FROM requests",
         "log_preview": "SELECT delivery_id, left(regexp_extract(note, '^[^\\r\\n]*', 0), 128) AS line FROM object_attributes",
         "event_decode": event.format("coalesce(json_type(p) = 'OBJECT', false) AS valid, json_extract_string(p, '$.action') AS action, TRY_CAST(json_extract_string(p, '$.comment.id') AS BIGINT) AS comment_id, TRY_CAST(json_extract_string(p, '$.repository.id') AS BIGINT) AS repo_id", ""),
+        "event_details": event.format(", ".join(f"json_extract_string(p, '{path}') AS {name}" for name, path in DETAILS.items()), "WHERE json_type(p) = 'OBJECT'"),
         "pr_number": event.format("coalesce(TRY_CAST(regexp_extract(regexp_replace(json_extract_string(p, '$.issue.pull_request.url'), '[?#].*$', ''), '[^/]*/?$', 0) AS INTEGER), 0) AS number", "WHERE json_extract_string(p, '$.issue.pull_request.url') IS NOT NULL"),
         "file_extension": f"SELECT diff_id, {_EXT.format('new_path')} AS ext FROM st_diff",
         "path_choice": f"SELECT diff_id, {_PATH} AS path FROM st_diff",

@@ -25,6 +25,15 @@ def decoded(df: DataFrame, raw: str, schema: str, corrupt: str = "_corrupt") ->
     return parsed.withColumn("event", F.when(good, F.col("_event"))).drop("_event")
 
 
+def whole_events(df: DataFrame, raw: str) -> DataFrame:
+    """``df`` with ``event``, the whole text as a variant: every field of it can be read by its path without a schema.
+
+    A text that is not one JSON object has a null event.
+    """
+    event = F.try_parse_json(raw)
+    return df.withColumn("event", F.when(F.schema_of_variant(event).startswith("OBJECT"), event))
+
+
 def land(events: DataFrame, folder: str) -> None:
     """Appends raw events (event_row, payload) to a landing folder, as JSON lines; what is there stays."""
     events.write.mode("append").json(folder)
