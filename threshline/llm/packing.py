@@ -1,7 +1,8 @@
 """Fixed-capacity containers filled with texts that fit together, by lexical retrieval.
 
-Texts go to tasks by the hash of a lexical route (their longest word), so that related texts meet; a route that has more
-texts than half a task, as counted over all texts, is split.  Within a task texts are ordered by route and cut into shards.
+Texts go to tasks by the hash of a lexical route (how dense signs, blanks and line ends are, and the first long word), so
+that related texts meet; a route that has more texts than half a task, as counted over all texts, is split.  Within a task
+texts are ordered by route and cut into shards.
 A shard holds an inverted index of BM25 weights over the tokens of its unused texts.  The
 largest unused text opens a container and queries the index with all its terms; unused neighbours fill the container in
 order of their score, and what room is left takes the largest texts that still fit.  Containers that stay below
@@ -22,7 +23,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -129,6 +130,14 @@ def tighten(box: list[int], room: int, sizes: np.ndarray, free: list[tuple[int,
     return room - gain
 
 
+def route_of(text: Column) -> Column:
+    """Texts of one kind have one beginning of the route: ten degrees each of signs, blanks and line ends, and the alphabet.  The first long word follows."""
+    n = F.length(text)
+    degree = lambda chars, scale: F.least(F.lit(9), F.floor(scale * (n - F.length(F.translate(text, chars, ""))) / n)).cast("string")
+    word = F.lower(F.left(F.regexp_extract(text, r"\p{L}{5,}", 0), F.lit(64)))
+    return F.concat(degree('(){};=<>"', 40), degree(" ", 30), degree("\n", 60), F.when(F.octet_length(text) == n, "a").otherwise("u"), word)
+
+
 def pack_texts(docs: DataFrame, key: str = "doc_id", text: str = "text", capacity: int = CAPACITY, vocabulary: str = DEFAULT_VOCABULARY, shard_texts: int = SHARD_TEXTS) -> DataFrame:
     """(container_id, key, first_token, n_tokens): what part of which text each container holds, first_token from 1.
 
@@ -139,9 +148,7 @@ def pack_texts(docs: DataFrame, key: str = "doc_id", text: str = "text", capacit
         raise ValueError("the capacity must be positive")
     spark, size = docs.sparkSession, input_bytes(docs, text)
     tasks = max(1, math.ceil(size / TASK_MOST), min(math.ceil(size / TASK_BYTES), TASKS_A_CORE * cores(spark)))
-    words = F.split(F.lower(text), r"[^\p{L}\p{N}_]+")
-    route = F.array_max(F.transform(words, lambda w: F.struct(F.length(w).alias("size"), F.left(w, F.lit(64)).alias("word"))))
-    source = docs.where(F.length(text) > 0).select(key, text, route["word"].alias("_route"))
+    source = docs.where(F.length(text) > 0).select(key, text, route_of(F.col(text)).alias("_route"))
     routed = source.select(key, text, "_route", F.lit(0).alias("_part"))
     if tasks > 1:
         # Written once, so that the route of each text is found once, for the counts and for the shuffle.
