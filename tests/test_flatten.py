@@ -94,8 +94,10 @@ def test_child_tables_have_all_fields(spark):
     schema = "mr_row LONG, labels ARRAY<STRUCT<id: LONG, title: STRING, color: STRING>>, last_commit STRUCT<id: STRING, message: STRING, author: STRUCT<name: STRING, email: STRING>>"
     requests = spark.createDataFrame([(7, [(1, "t", None), (2, None, "c")], ("s", "m", ("n", "e")))], schema)
     rows = lambda kind: sorted(tuple(r) for r in review_child_table(events, requests, kind).collect())
-    assert rows("gh_label") == [(1, 0, "a", {"name": "a", "color": "f00", "by/who": "x", "by/n~1m/0": "1", "by/n~1m/2": "2"}), (1, 1, "b", {"name": "b"})]
-    assert rows("user") == [(1, 0, "u", {"login": "u", "id": "5"})] and rows("assignee") == []
+    assert rows("gh_label") == [(1, 0, "a", None, "f00", None, None), (1, 1, "b", None, None, None, None)]
+    assert rows("user") == [(1, 0, "u", "5", None, None, None, None, None)] and rows("assignee") == []
+    every = json_children(events, "event_row", "payload", EVENT_CHILDREN, None).where("kind = 'gh_label'").collect()
+    assert sorted((r.pos, r.fields) for r in every) == [(0, {"name": "a", "color": "f00", "by/who": "x", "by/n~1m/0": "1", "by/n~1m/2": "2"}), (1, {"name": "b"})]
     assert rows("label") == [(7, 0, "1", "1", "t", None), (7, 1, "2", "2", None, "c")]
     assert rows("commit") == [(7, 0, "s", "s", "m")] and rows("commit_author") == [(7, 0, "e", "n", "e")]
 
