@@ -133,9 +133,10 @@ def tighten(box: list[int], room: int, sizes: np.ndarray, free: list[tuple[int,
 def route_of(text: Column) -> Column:
     """Texts of one kind have one beginning of the route: ten degrees each of signs, blanks and line ends, and the alphabet.  The first long word follows."""
     n = F.length(text)
-    degree = lambda chars, scale: F.least(F.lit(9), F.floor(scale * (n - F.length(F.translate(text, chars, ""))) / n)).cast("string")
+    degree = lambda count, scale: F.least(F.lit(9), F.floor(scale * count / n)).cast("string")
+    of = lambda char: n - F.length(F.replace(text, F.lit(char), F.lit("")))
     word = F.lower(F.left(F.regexp_extract(text, r"\p{L}{5,}", 0), F.lit(64)))
-    return F.concat(degree('(){};=<>"', 40), degree(" ", 30), degree("\n", 60), F.when(F.octet_length(text) == n, "a").otherwise("u"), word)
+    return F.concat(degree(F.regexp_count(text, F.lit(r'[(){};=<>"]')), 40), degree(of(" "), 30), degree(of("\n"), 60), F.when(F.octet_length(text) == n, "a").otherwise("u"), word)
 
 
 def pack_texts(docs: DataFrame, key: str = "doc_id", text: str = "text", capacity: int = CAPACITY, vocabulary: str = DEFAULT_VOCABULARY, shard_texts: int = SHARD_TEXTS) -> DataFrame:
