@@ -75,7 +75,7 @@ def test_notices_by_parts(text):
     assert by_machine("x.c", f"+// {text}\n" + CODE) == (text != "Bu: dosya")
 
 
-@pytest.mark.parametrize("text", ["Do not change the order of these steps.", "The output of page.tmpl is checked below", "Maintained by hand since the generated one was lost, do not edit", "Emits the generated pages; never edit them", "Nicht vergessen: hier wird nichts erzeugt"])
+@pytest.mark.parametrize("text", ["Do not change the order of these steps.", "The output of page.tmpl is checked below", "Maintained by hand since the generated one was lost, do not edit", "Emits the generated pages; never edit them", "The limits are derived from the load test, do not change this without a new run", "Rows created by older versions will be replaced", "Nicht vergessen: hier wird nichts erzeugt"])
 def test_no_notices(text):
     assert not by_machine("x.c", f"+// {text}\n" + CODE)
 

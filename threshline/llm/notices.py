@@ -21,12 +21,16 @@ COMMENT = re.compile(r"""\s*(?://+!?|\#+|--|;+|/\*+!?|<!--|\*|%+|'|"_?(?:comment
 LEAD = r"(?:\W{0,3}\w{1,4}[.):]?\s+)?"
 
 _MADE = r"""
-    auto-?\s?generated | (?:re)?generated | machine-?\s?(?:written|made|generated|produced) | (?:produced|emitted|compiled|rendered|derived|translated|transpiled|converted|exported|expanded|built|created|written|synthesi[sz]ed|assembled)\ (?:automatically\ )?(?:by|from|with|out\ of)
-  | (?:output|product|result|transcription|rendering|translation|expansion|snapshot|dump|export)\ of | build\ (?:product|output|artifact|artefact)
+    auto-?\s?generated | (?:re)?generated | machine-?\s?(?:written|made|generated|produced) | transcription\ of | build\ (?:product|output|artifact|artefact)
   | (?:automatisch\ )?(?:erzeugt|generiert|erstellt) | (?:produit|générée?|créée?|genere|engendré)(?:\ automatiquement)?\ (?:par|à\ partir|depuis|avec) | généré | générée
   | generad[oa] | gerad[oa] | producid[oa]\ por | generat[oa] | prodott[oa]\ da | gegenereerd | wygenerowan\w* | сгенерирован\w* | создан\w*\ автоматически
   | 自動生成 | 生成され | により生成 | によって(?:生成|作成) | から生成 | が生成した | 自動的に作成 | 自动生成 | 自動產生 | 由.{1,60}(?:生成|产生|產生) | 자동(?:으로)?\ ?생성 | 에\ 의해\ 생성
 """
+#: Words that say as much of other things; they count where the comment begins with them or with the file as their subject.
+_MADE_FIRST = r"""
+    (?:produced|emitted|compiled|rendered|derived|translated|transpiled|converted|exported|expanded|built|created|written|synthesi[sz]ed|assembled)\ (?:automatically\ )?(?:by|from|with|out\ of)
+  | (?:output|product|result|rendering|translation|expansion|snapshot|dump|export)\ of
+"""
 _NO_EDIT = r"""
     (?:do\ not|don['’]t|never|not\ to\ be|should\ not\ be|must\ not\ be|no\ manual|avoid|not\ meant\ to\ be)\ (?:\w+\ ){0,2}?(?:edit\w*|modif\w+|chang\w+|patch\w*|touch\w*|alter\w*|amend\w*|tweak\w*|fix\w*|commit\w*)
         (?=\ (?:it|this|by|here|the\ file|manually|directly|in\ place)\b|\W*$|\s*[.;,!])
@@ -42,6 +46,7 @@ _RENEWED = r"""
   | re-?run\ (?:the\ )?\S+ | will\ be\ (?:overwritten|regenerated|replaced) | wird\ (?:\w+\ ){0,4}(?:überschrieben|neu\ erzeugt|aktualisiert) | sera\ (?:écrasé|régénéré)e? | se\ sobrescrib\w+ | 上書きされ | 再生成され | 将被覆盖 | 會被覆蓋 | 덮어쓰
 """
 MADE, NO_EDIT, RENEWED = (re.compile(f"(?:{p})", re.I | re.X) for p in (_MADE, _NO_EDIT, _RENEWED))
+MADE_FIRST = re.compile(rf"{LEAD}(?:(?:this|the)\ (?:file|code|module|class|source)\ (?:is|was|has\ been)\ (?:\w+\ ){{0,2}}?)?(?:{_MADE_FIRST})", re.I | re.X)
 #: A file says of itself that a machine made it: enough without a request.
 SELF = re.compile(
     LEAD
@@ -95,7 +100,7 @@ def made_by_machine(text: str) -> bool:
         return False
     if SELF.match(text):
         return True
-    return bool(MADE.search(text)) and bool(NO_EDIT.search(text) or RENEWED.search(text))
+    return bool(MADE.search(text) or MADE_FIRST.match(text)) and bool(NO_EDIT.search(text) or RENEWED.search(text))
 
 
 def is_notice(text: str) -> bool:
