@@ -46,7 +46,7 @@ _RENEWED = r"""
   | re-?run\ (?:the\ )?\S+ | will\ be\ (?:overwritten|regenerated|replaced) | wird\ (?:\w+\ ){0,4}(?:überschrieben|neu\ erzeugt|aktualisiert) | sera\ (?:écrasé|régénéré)e? | se\ sobrescrib\w+ | 上書きされ | 再生成され | 将被覆盖 | 會被覆蓋 | 덮어쓰
 """
 MADE, NO_EDIT, RENEWED = (re.compile(f"(?:{p})", re.I | re.X) for p in (_MADE, _NO_EDIT, _RENEWED))
-MADE_FIRST = re.compile(rf"{LEAD}(?:(?:this|the)\ (?:file|code|module|class|source)\ (?:is|was|has\ been)\ (?:\w+\ ){{0,2}}?)?(?:{_MADE_FIRST})", re.I | re.X)
+MADE_FIRST = re.compile(rf"(?:\W{{0,3}}(?:\d{{1,4}}|\w{{1,4}}[.):])\s+)?\W{{0,3}}(?:(?:this|the)\ (?:file|code|module|class|source)\ (?:is|was|has\ been)\ (?:\w+\ ){{0,2}}?)?(?:{_MADE_FIRST})", re.I | re.X)
 #: A file says of itself that a machine made it: enough without a request.
 SELF = re.compile(
     LEAD
