@@ -23,6 +23,19 @@ def common(a: str, i: int, b: str, j: int, most: int) -> int:
     return n
 
 
+def equal_before(a: str, i: int, b: str, j: int) -> int:
+    """Equal characters right before a[i] and b[j]."""
+    n, step = 0, 256
+    while n < min(i, j):
+        low = min(step, min(i, j) - n)
+        got = common(a[i - n - low : i - n][::-1], 0, b[j - n - low : j - n][::-1], 0, low)
+        n += got
+        if got < low:
+            break
+        step *= 4
+    return n
+
+
 def edits(a: str, b: str) -> int:
     """Edit distance: a column of the matrix is the bits of two integers (Myers), one step a character of ``b``."""
     n = common(a, 0, b, 0, min(len(a), len(b)))
@@ -65,7 +78,7 @@ def extended(a: str, b: str, identity: float = IDENTITY, drop: int = DROP) -> tu
             for e, x in ((d, i + 1), (d + 1, i + 1), (d - 1, i)):
                 if x <= len(a) and x - e <= len(b) and x > ahead.get(e, -1):
                     ahead[e] = x
-        reach = {}
+        slid = []
         for d, i in ahead.items():
             j = i - d
             most = min(len(a) - i, len(b) - j)
@@ -74,12 +87,13 @@ def extended(a: str, b: str, identity: float = IDENTITY, drop: int = DROP) -> tu
                 i += 1
             if i == stop and most > 8:
                 i += common(a, i, b, i - d, most - 8)
-            j = i - d
-            score = i + j - price * done
-            if score > best:
-                best, result = score, (i, j, done)
-            if score > best - drop * price:
-                reach[d] = i
+            slid.append((2 * i - d - price * done, -d, i))
+        if not slid:
+            break
+        score, d, i = max(slid)
+        if score > best:
+            best, result = score, (i, i + d, done)
+        reach = {-d: i for score, d, i in slid if score > best - drop * price}
     return result
 
 

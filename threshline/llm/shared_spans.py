@@ -4,14 +4,15 @@ Seeds.  Of the k-mers of every stretch of ``least`` characters the one of lowest
 stretches always have the same seed at the same place.  A seed stands for the run of stretches it was chosen for.
 
 Links.  Seeds meet by hash, with aggregates only.  The occurrences of one hash form a group, those whose runs are equal a
-class within it.  Each occurrence is linked to one other document: of its class where that has two or more, else of its
-group (the first holder, or the last for the first).  No pairs within a group are formed, and a hash that a third of all
-documents has is split over tasks.  Groups with their members (``members``) let every pair be rebuilt.
+class within it.  For exact spans each occurrence is linked to one other document: of its class where that has two or more,
+else of its group (the first holder, or the last for the first); no pairs within a group are formed, and a hash that a third
+of all documents has is split over tasks.  Fuzzy passages need every pair of a group: its documents meet in buckets.
+``members`` gives the groups themselves.
 
-Chains.  The linked seeds of a document and one other are chained: ordered matches, scored through a Fenwick tree with a
-cost for gaps on both sides.  Each chain is aligned.  For exact spans (``shared_spans``) run by run: equal runs on one
-diagonal join to blocks that both texts hold.  For fuzzy passages (``passages``) on both texts: edit distance between
-seeds, ends extended while that pays.
+Chains.  The common seeds of two documents are chained: ordered matches, scored through a Fenwick tree with a cost for gaps
+on both sides.  Each chain is aligned.  For exact spans (``shared_spans``) run by run: equal runs on one diagonal join to
+blocks that both texts hold.  For fuzzy passages (``passages``) on both texts: edit distance between seeds, ends extended
+while that pays.
 
 Exact check.  What the blocks of the chains leave open are runs that no other document has as a whole (at the ends of
 passages).  Only the characters around those go to the group of their hash, where every stretch is compared by hash with
@@ -33,16 +34,21 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from threshline.llm.alignment import IDENTITY, aligned
+from threshline.llm.alignment import IDENTITY, aligned, common, equal_before
 from threshline.llm.batches import slices
+from threshline.llm.document_pairs import Bucket
 from threshline.operators.skew import join_by_frequency
-from threshline.session import checkpointed
+from threshline.session import checkpointed, cores
 
 LEAST, SEED = 200, 64
 #: Rows of one hash that one task may hold.
 GROUP_ROWS = 20_000
-#: About how many document pairs one bucket holds.
-PAIR_ROWS = 200
+#: About how many common seeds of document pairs, and how many characters, one bucket holds at most.
+PAIR_ROWS, BUCKET_CHARS = 500_000, 16_000_000
+#: Tasks that buckets are put to at most.
+MOST_TASKS = 20_000
+#: Places of one seed in two texts that are all matched with each other.
+FEW_PLACES = 64
 #: Keys of documents with open seeds that may be broadcast, 8 bytes each.
 MOST_KEYS = 2_000_000
 #: A chain pays so much a character of gap, on either side, of what a seed brings.
@@ -273,76 +279,156 @@ def members(docs: DataFrame, key: str = "doc_id", text: str = "text", least: int
 def occurrences(mine: list[int], theirs: list[int]) -> list[tuple[int, int]]:
     """Places of one seed in two texts that are matched: all with the only one, else those of one rank from either end.
 
-    So a line that both texts repeat a thousand times gives some thousand matches, not a million; every place of the text
-    with fewer is matched.
+    So a line that both texts repeat a thousand times gives some thousand matches, not a million; every place of either text
+    is matched.
     """
     if len(mine) == 1 or len(theirs) == 1:
         return [(x, y) for x in mine for y in theirs]
     mine, theirs = sorted(mine), sorted(theirs)
-    return sorted({*zip(mine, theirs), *zip(mine[::-1], theirs[::-1])})
+    found = {*zip(mine, theirs), *zip(mine[::-1], theirs[::-1])}
+    for known, side, long, short in ((0, lambda x, y: (x, y), mine, theirs), (1, lambda x, y: (y, x), theirs, mine)):
+        matched = {m[known] for m in found}
+        found |= {side(x, short[n % len(short)]) for n, x in enumerate(long) if x not in matched}
+    return sorted(found)
+
+
+def equal_windows(mine: tuple[str, dict[int, list[int]]], theirs: tuple[str, dict[int, list[int]]], seeds: list[int], least: int) -> set[tuple[int, int]]:
+    """Matches of repeated seeds: every place whose stretch of ``least`` characters both texts hold has one in the other."""
+    sides: list[dict[int, list[int]]] = []
+    for text, places in (mine, theirs):
+        runs = np.array([(*extent(at), at >> 32) for seed in seeds for at in places[seed]], np.int64)
+        runs = runs[runs[:, 1] + least <= len(text)]
+        n = runs[:, 1] - runs[:, 0] + 1
+        start = np.repeat(runs[:, 0], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        codes = Hashes(np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)).of(start, least)
+        found: dict[int, list[int]] = {}
+        for code, place in zip(codes.tolist(), np.repeat(runs[:, 2], n).tolist()):
+            found.setdefault(code, []).append(place)
+        sides.append(found)
+    alike = {(tuple(sides[0][code]), tuple(sides[1][code])) for code in sides[0].keys() & sides[1].keys()}
+    return {match for xs, ys in alike for match in occurrences(sorted({*xs}), sorted({*ys}))}
+
+
+def pair_matches(mine: tuple[str, dict[int, list[int]]], theirs: tuple[str, dict[int, list[int]]], least: int, k: int) -> list[tuple[int, int]]:
+    """(place here, place there) of the common seeds of two texts: all places of a seed where they are few."""
+    (a, mine_at), (b, theirs_at) = mine, theirs
+    found: set[tuple[int, int]] = set()
+    many = []
+    for seed in mine_at.keys() & theirs_at.keys():
+        xs, ys = (sorted({at >> 32 for at in side[seed]}) for side in (mine_at, theirs_at))
+        if len(xs) * len(ys) <= FEW_PLACES:
+            found.update((x, y) for x in xs for y in ys)
+        else:
+            found.update(occurrences(xs, ys))
+            many.append(seed)
+    if many:
+        found |= equal_windows(mine, theirs, many, least)
+    return sorted((x, y) for x, y in found if len(a) >= x + k and a[x : x + k] == b[y : y + k])
 
 
 def pair_passages(mine: tuple[str, dict[int, list[int]]], theirs: tuple[str, dict[int, list[int]]], least: int, k: int) -> list[tuple[int, int, int, int, int, int]]:
-    """Aligned passages of two documents, given as text and places of each seed; one within another on both sides is left out."""
-    (a, mine_at), (b, theirs_at) = mine, theirs
-    common_ones = (seed for seed in (mine_at if len(mine_at) <= len(theirs_at) else theirs_at) if seed in mine_at and seed in theirs_at)
-    places = [p for seed in common_ones for p in occurrences(mine_at[seed], theirs_at[seed])]
-    places = [(x, y) for x, y in places if a[x : x + k] == b[y : y + k]]
+    """Aligned passages of two documents, given as text and packed places of each seed; one within another on both sides is left out.
+
+    What the alignment of the chains leaves out is aligned once more alone: a match that lies in no passage, and a match
+    whose equal stretch of ``least`` characters or more does not lie in one as a whole.
+    """
+    a, b = mine[0], theirs[0]
+    places = pair_matches(mine, theirs, least, k)
     out: list[tuple[int, int, int, int, int, int]] = []
+    tried: set[tuple[int, int]] = set()
 
     def held(s: int, e: int, t: int, f: int) -> bool:
         return any(o[0] <= s and e <= o[1] and o[2] <= t and f <= o[3] for o in out)
 
-    for path in chain([x for x, _ in places], [y for _, y in places], k) if len(places) > 1 else [[0]] * len(places):
-        (x, y), (u, v) = places[path[0]], places[path[-1]]
-        if held(x, u + k, y, v + k):
-            continue
-        for s, e, t, f, changed, n in aligned(a, b, [places[i] for i in path], k, least):
+    def align(path: list[tuple[int, int]]) -> None:
+        if len(path) == 1:
+            tried.add(path[0])
+        for s, e, t, f, changed, n in aligned(a, b, path, k, least):
             if min(e - s, f - t) >= least and changed <= (1 - IDENTITY) * max(e - s, f - t) and not held(s, e, t, f):
+                out[:] = [o for o in out if not (s <= o[0] and o[1] <= e and t <= o[2] and o[3] <= f)]
                 out.append((s, e, t, f, changed, n))
+
+    for path in chain([x for x, _ in places], [y for _, y in places], k) if len(places) > 1 else [[0]] * len(places):
+        (x, y), (u, v) = places[path[0]], places[path[-1]]
+        if not held(x, u + k, y, v + k):
+            align([places[i] for i in path])
+    ends: dict[int, int] = {}  # by diagonal, how far its last equal stretch reaches
+    for x, y in places:
+        if x + k <= ends.get(x - y, 0):
+            continue  # the same stretch again
+        before = equal_before(a, x, b, y)
+        ahead = x + k + common(a, x + k, b, y + k, min(len(a) - x, len(b) - y) - k)
+        ends[x - y] = ahead
+        s, e = (x - before, ahead) if ahead - x + before >= least else (x, x + k)
+        if (x, y) not in tried and not held(s, e, s - x + y, e - x + y):
+            align([(x, y)])
     return out
 
 
 def passages(docs: DataFrame, key: str = "doc_id", text: str = "text", least: int = LEAST, k: int = SEED, pair_rows: int = PAIR_ROWS) -> DataFrame:
     """Fuzzy passages: (key, start_pos, n_chars, other, other_start_pos, other_n_chars, n_seeds, identity), a row per passage and side.
 
-    Linked documents are chained over all their common seeds, and each chain is aligned on both texts.  The other document
-    is the representative a seed is linked to, so rows grow with the documents; ``members`` gives who else holds it.  A passage
-    has ``least`` characters or more on both sides, of which IDENTITY or more is equal: one less its edits a character of the
-    longer side.  Pairs go to buckets by the hashes of both documents, so that a document is sent once to each bucket and
-    not once a pair.
+    Every two documents that have a common seed are chained over all their common seeds, and each chain is aligned on both
+    texts; two documents that share ``least`` equal characters always have one.  So rows grow with the pairs, not with the
+    documents.  A passage has ``least`` characters or more on both sides, of which IDENTITY or more is equal: one less its
+    edits a character of the longer side.  Documents go to sides by the hash of their key and a bucket holds two sides:
+    a document is sent once to each bucket where it has a pair, and pairs are formed within the task alone.
     """
-    kind = docs.schema[key].dataType
-    held = linked_seeds(docs, key, text, least, k)
-    pairs = checkpointed(held.select(F.least(key, "other").alias("a"), F.greatest(key, "other").alias("b")).distinct())
-    sides_ = max(1, math.ceil(math.sqrt(2 * pairs.count() / pair_rows)))
-    place = [F.pmod(F.xxhash64(c, F.lit(7)), F.lit(sides_)) for c in ("a", "b")]
-    placed = pairs.withColumn("bucket", F.least(*place) * sides_ + F.greatest(*place))
-    per_doc = docs.select(key, F.col(text).alias("_text")).where(F.length("_text") >= least).join(held.groupBy(key).agg(F.collect_list(F.struct("seed", F.shiftright("at", 32).alias("at"))).alias("seeds")), key)
-    needs = placed.select("bucket", F.explode(F.array("a", "b")).alias(key)).distinct().join(per_doc, key).select(F.col("bucket").alias("_bucket"), key, "seeds", "_text")
-
-    def run(found: pa.Table, needed: pa.Table) -> pa.Table:
-        known: dict[object, dict[str, dict[int, list[int]]]] = {}  # a repeated id has several texts
-        for doc, ms, t in zip(*(needed.column(n).to_pylist() for n in (1, 2, 3))):
-            by_seed = known.setdefault(doc, {})[t] = {}
-            for m in ms:
-                if m["at"] + k <= len(t):
-                    by_seed.setdefault(m["seed"], []).append(m["at"])
-        rows: tuple[list, ...] = tuple([] for _ in names)
-        for a, b in zip(found.column(0).to_pylist(), found.column(1).to_pylist()):
-            got = [p for mine in known[a].items() for theirs in known[b].items() for p in pair_passages(mine, theirs, least, k)]
-            for s, e, t, f, changed, n in got:
-                alike = 1 - changed / max(e - s, f - t)
-                for column, x in zip(rows, ((a, b), (s + 1, t + 1), (e - s, f - t), (b, a), (t + 1, s + 1), (f - t, e - s), (n, n), (alike, alike))):
-                    column.extend(x)
-        doc = found.schema.field(0).type
-        types = (doc, pa.int32(), pa.int32(), doc, pa.int32(), pa.int32(), pa.int32(), pa.float64())
-        return pa.table([pa.array(x, t) for x, t in zip(rows, types)], names=names)
-
+    spark = docs.sparkSession
+    held = checkpointed(shared_seeds(docs, key, text, least, k).select(key, "seed", "at"))
+    holders = checkpointed(held.select("seed", key).distinct())
+    texts = docs.where(F.col(key).isNotNull() & (F.length(text) >= least)).select(key, F.col(text).alias("_text"))
+    keys = held.select(key).distinct()
+    if keys.limit(MOST_KEYS + 1).count() <= MOST_KEYS:
+        texts = texts.join(F.broadcast(keys), key, "left_semi")
+    per_doc = checkpointed(texts.join(held.groupBy(key).agg(F.collect_list(F.struct("seed", "at")).alias("seeds")), key))
+    pairs = holders.groupBy("seed").count().agg(F.sum(F.col("count").cast("double") * (F.col("count") - 1) / 2)).first()[0] or 0
+    chars = per_doc.agg(F.sum(F.length("_text"))).first()[0] or 0
+    n = max(1, math.ceil(math.sqrt(2 * pairs / pair_rows)), math.ceil(2 * chars / BUCKET_CHARS), math.ceil(math.sqrt(2 * cores(spark))) if pairs > pair_rows // 10 else 1)
+    placed = holders.withColumn("_side", F.pmod(F.xxhash64(key, F.lit(7)), F.lit(n)).cast("int"))
+    # A seed has at most n sides, so that a frequent one needs no pairs to tell its buckets.
+    met = placed.groupBy("seed").agg(F.count("*").alias("_n"), F.collect_set("_side").alias("_sides"))
+    joined = join_by_frequency(placed, met, "seed", "_n", F.col(key)).select(key, "_side", F.explode("_sides").alias("_other"))
+    # The number of a bucket counts the pairs of sides, so that each is a task of its own.
+    high = F.greatest("_side", "_other").cast("bigint")
+    bucket_ = F.shiftright(high * (high + 1), 1) + F.least("_side", "_other")
+    wanted = joined.select(key, bucket_.alias("bucket"), (F.col("_side") <= F.col("_other")).alias("left"), (F.col("_side") >= F.col("_other")).alias("right"))
+    needs = wanted.distinct().join(per_doc, key).select("bucket", "left", "right", key, "seeds", "_text")
     names = [key, "start_pos", "n_chars", "other", "other_start_pos", "other_n_chars", "n_seeds", "identity"]
-    kinds = {key: kind, "other": kind, "identity": T.DoubleType()}
+
+    def settle(batches: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        docs_ = pa.chunked_array([b.column(3) for b in batches]).combine_chunks()
+        lists = pa.chunked_array([b.column(4) for b in batches]).combine_chunks()
+        left, right = (np.concatenate([b.column(c).to_numpy(zero_copy_only=False) for b in batches]).astype(bool) for c in (1, 2))
+        each = lists.flatten()
+        codes = docs_.dictionary_encode().indices.to_numpy()
+        owner = np.repeat(np.arange(len(docs_)), pa.compute.list_value_length(lists).to_numpy())
+        bucket = Bucket(codes, [t for b in batches for t in b.column(5).to_pylist()], left, right, owner, each.field(0).to_numpy(), each.field(1).to_numpy())
+        for found in bucket.passages(least, k, pair_passages):
+            for a, b, which in bucket.rows(found):
+                _, _, s, e, t, f, changed, n_seeds = found[:, which]
+                alike = 1 - changed / np.maximum(e - s, f - t)
+                both = lambda x, y: pa.array(np.concatenate([x, y]).astype(np.int32))
+                columns = [docs_.take(pa.array(np.concatenate([a, b]))), both(s + 1, t + 1), both(e - s, f - t), docs_.take(pa.array(np.concatenate([b, a]))), both(t + 1, s + 1), both(f - t, e - s)]
+                yield pa.RecordBatch.from_arrays([*columns, both(n_seeds, n_seeds), pa.array(np.concatenate([alike, alike]))], names=names)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows sorted by bucket: each is settled when the next one begins."""
+        waiting: list[pa.RecordBatch] = []
+        for batch in batches:
+            numbers = batch.column(0).to_numpy()
+            cuts = [0, *(np.flatnonzero(np.diff(numbers)) + 1).tolist(), len(numbers)] if len(numbers) else [0]
+            for lo, hi in zip(cuts, cuts[1:]):
+                if waiting and waiting[-1].column(0)[0].as_py() != numbers[lo]:
+                    yield from settle(waiting)
+                    waiting = []
+                waiting.append(batch.slice(lo, hi - lo))
+        if waiting:
+            yield from settle(waiting)
+
+    kinds = {key: docs.schema[key].dataType, "other": docs.schema[key].dataType, "identity": T.DoubleType()}
     schema = T.StructType([T.StructField(c, kinds.get(c, T.IntegerType())) for c in names])
-    return placed.select("a", "b", "bucket").groupBy("bucket").cogroup(needs.groupBy("_bucket")).applyInArrow(run, schema)
+    return needs.repartitionById(min(n * (n + 1) // 2, MOST_TASKS), F.pmod("bucket", F.lit(MOST_TASKS)).cast("int")).sortWithinPartitions("bucket").mapInArrow(run, schema)
 
 
 def _merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
