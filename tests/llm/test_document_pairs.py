@@ -5,7 +5,7 @@ import pytest
 
 from tests.llm.test_shared_spans import LEAST, SEED, corpus, pairs_of
 from threshline.llm.alignment import equal_before, extended
-from threshline.llm.document_pairs import WIDTH, extended_rows
+from threshline.llm.document_pairs import WIDTH, Bucket, extended_rows
 from threshline.llm.shared_spans import occurrences, pair_passages, passages, seed_runs
 
 
@@ -108,3 +108,15 @@ def test_ends_as_rows():
 def test_equal_characters_before():
     assert equal_before("xabc", 4, "yyabc", 5) == 3 and equal_before("abc", 0, "abc", 2) == 0
     assert equal_before("q" + "a" * 3000, 3001, "r" + "a" * 2500, 2501) == 2500 and equal_before("ab" * 700, 1400, "ab" * 900, 1800) == 1400
+
+
+def test_holders_of_equal_texts_in_parts(monkeypatch):
+    """Many holders of one text come in parts: each two of them once, on one side as on two."""
+    monkeypatch.setattr("threshline.llm.document_pairs.OUT", 7)
+    keys, none = np.arange(9), np.empty(0, np.int64)
+    left = keys < 4
+    for one, two, wanted in ((left, ~left, 20), (left | True, left | True, 36)):
+        bucket = Bucket(keys, ["a" * 200] * 5 + ["b" * 200] * 4, one, two, none, none, none)
+        found = np.array([[0, 0, 1], [0, 1, 1], *[[0] * 3] * 6])
+        met = [tuple(sorted((a, b))) for got in bucket.rows(found) for a, b in zip(got[0].tolist(), got[1].tolist())]
+        assert len(met) == len({*met}) == wanted

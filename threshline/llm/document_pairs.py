@@ -12,8 +12,8 @@ import numpy as np
 
 from threshline.llm.alignment import DROP, IDENTITY
 
-#: Common seeds of pairs and pairs that are held as array rows at once; they bound memory and change no result.
-MATCHES, ROWS = 400_000, 20_000
+#: Common seeds of pairs, pairs, and pairs of holders that are array rows at once; they bound memory and change no result.
+MATCHES, ROWS, OUT = 400_000, 20_000, 200_000
 #: Edits an end may take as an array row; longer ends are aligned one by one.
 ROUNDS = 12
 #: Characters compared at once.
@@ -184,11 +184,13 @@ class Bucket:
             (rows_a, low_a, n_a), (rows_b, low_b, n_b) = sides
             if mine is self.right:  # two holders of one text meet once
                 n_a = np.where(one == two, 0, n_a)
-            n = n_a * n_b
-            which = np.repeat(np.arange(len(one)), n)
-            k = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-            a, b = rows_a[low_a[which] + k // n_b[which]], rows_b[low_b[which] + k % n_b[which]]
-            keep = self.keys[a] != self.keys[b]
-            if both:
-                keep &= (one[which] != two[which]) | (a < b)
-            yield a[keep], b[keep], which[keep]
+            ends = np.cumsum(n_a * n_b)
+            for lo in range(0, int(ends[-1]) if len(ends) else 0, OUT):
+                place = np.arange(lo, min(lo + OUT, int(ends[-1])))
+                which = np.searchsorted(ends, place, "right")
+                k = place - (ends - n_a * n_b)[which]
+                a, b = rows_a[low_a[which] + k // n_b[which]], rows_b[low_b[which] + k % n_b[which]]
+                keep = self.keys[a] != self.keys[b]
+                if both:
+                    keep &= (one[which] != two[which]) | (a < b)
+                yield a[keep], b[keep], which[keep]

@@ -44,7 +44,7 @@ LEAST, SEED = 200, 64
 #: Rows of one hash that one task may hold.
 GROUP_ROWS = 20_000
 #: About how many common seeds of document pairs, and how many characters, one bucket holds at most.
-PAIR_ROWS, BUCKET_CHARS = 500_000, 16_000_000
+PAIR_ROWS, BUCKET_CHARS = 4_000_000, 32_000_000
 #: Tasks that buckets are put to at most.
 MOST_TASKS = 20_000
 #: Places of one seed in two texts that are all matched with each other.
@@ -384,7 +384,7 @@ def passages(docs: DataFrame, key: str = "doc_id", text: str = "text", least: in
     per_doc = checkpointed(texts.join(held.groupBy(key).agg(F.collect_list(F.struct("seed", "at")).alias("seeds")), key))
     pairs = holders.groupBy("seed").count().agg(F.sum(F.col("count").cast("double") * (F.col("count") - 1) / 2)).first()[0] or 0
     chars = per_doc.agg(F.sum(F.length("_text"))).first()[0] or 0
-    n = max(1, math.ceil(math.sqrt(2 * pairs / pair_rows)), math.ceil(2 * chars / BUCKET_CHARS), math.ceil(math.sqrt(2 * cores(spark))) if pairs > pair_rows // 10 else 1)
+    n = max(1, math.ceil(math.sqrt(2 * pairs / pair_rows)), math.ceil(2 * chars / BUCKET_CHARS), math.ceil(math.sqrt(4 * cores(spark))) if pairs > pair_rows // 100 else 1)
     placed = holders.withColumn("_side", F.pmod(F.xxhash64(key, F.lit(7)), F.lit(n)).cast("int"))
     # A seed has at most n sides, so that a frequent one needs no pairs to tell its buckets.
     met = placed.groupBy("seed").agg(F.count("*").alias("_n"), F.collect_set("_side").alias("_sides"))
